@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, contraction, leakage, mojibake, nearest, oddsketch, residue, truncation
+from . import bpe, contraction, leakage, mojibake, nearest, oddsketch, residue, sanitise, truncation
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -114,3 +114,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return residue.cleaned(table(spark, d, "parse_report"))
+
+
+@query()
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return sanitise.found(table(spark, d, "reports"), table(spark, d, "identity_map"))
+
+
+@query()
+def p3_sanitised(spark: SparkSession, d: str) -> DataFrame:
+    return sanitise.sanitised(table(spark, d, "reports"), table(spark, d, "identity_map"))
