@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,6 +80,20 @@ class Stage:
                 self._remove(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once a session; they need no path of the driver's."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_radveil_shipped", False):
+        home = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="radveil-py-")) / "radveil.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, f.relative_to(home.parent))
+        sc.addPyFile(str(target))
+        sc._radveil_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One input table of a data folder."""
+    ship(spark)
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
