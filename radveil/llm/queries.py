@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, contraction, leakage, mojibake, nearest, oddsketch, residue, sanitise, truncation
+from . import bpe, contraction, leakage, mojibake, names, nearest, oddsketch, residue, sanitise, truncation
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -124,3 +124,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p3_sanitised(spark: SparkSession, d: str) -> DataFrame:
     return sanitise.sanitised(table(spark, d, "reports"), table(spark, d, "identity_map"))
+
+
+@query()
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.found(table(spark, d, "parse_report"), table(spark, d, "linkage_records"), table(spark, d, "nicknames"))
+
+
+@query()
+def p5_people(spark: SparkSession, d: str) -> DataFrame:
+    return names.people(table(spark, d, "parse_report"), table(spark, d, "linkage_records"), table(spark, d, "nicknames"))
