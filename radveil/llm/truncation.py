@@ -28,6 +28,7 @@ SHORT = 4  # tokens up to which a whole piece is counted, so that a closing form
 MARK = r"(?U)(?:\s*(?:\[(?:more|cut|truncated|cont(?:inued|\.)?|\.\.\.|…)\]|\((?:more|cut|truncated|cont(?:inued|\.|d)?)\)|…|\.{3,}|>{2,}))+$|(?<=[\p{L}\p{M}\p{N}])[-‐]$"
 TERMINATED = r"[.!?।。]['\"”’»)\]]*$"
 BRACKETED = r"(?s)^(?:\(.*\)|\[.*\]|“.*”|\".*\"|«.*»|\*{3}.*\*{3})$"
+UNCLOSED = r"^(?:\([^)]*|\[[^\]]*|“[^”]*|«[^»]*)$"
 PIECES = r"\n|\r|(?<=[.!?।。])\s+"
 
 
@@ -74,11 +75,12 @@ def _starts(piece: Column) -> Column:
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """doc_id, source, bare (text without white space and cut marks at its end), last piece, how it starts and whether it ended."""
+    """doc_id, source, bare (text without white space and cut marks at its end), last piece, whether it has a line of its own, how it starts and whether it ended."""
     whole = docs.where("text is not null").withColumn("bare", F.regexp_replace("text", r"(?U)\s+$", ""))
     whole = whole.withColumn("bare", F.regexp_replace(F.regexp_replace("bare", MARK, ""), r"(?U)\s+$", "")).where("bare <> ''")
     last = F.element_at(F.split("bare", PIECES), -1)
-    return whole.select("doc_id", "source", "text", "bare", F.trim(last).alias("last")).withColumns({"ended": F.col("last").rlike(TERMINATED) | F.col("last").rlike(BRACKETED), "starts": _starts(F.col("last"))})
+    own_line = F.trim(F.element_at(F.split("bare", r"\n|\r"), -1)) == F.trim(last)
+    return whole.select("doc_id", "source", "text", "bare", F.trim(last).alias("last"), own_line.alias("own_line")).withColumns({"ended": F.col("last").rlike(TERMINATED) | F.col("last").rlike(BRACKETED), "starts": _starts(F.col("last"))})
 
 
 def start_statistics(docs: DataFrame) -> DataFrame:
@@ -98,7 +100,7 @@ def flagged(docs: DataFrame) -> DataFrame:
     stage = Stage(docs.sparkSession, "truncation")
     stats = stage.write(start_statistics(docs))
     limits = stage.write(significant(hazards(docs)).select("source", "unit", "n"))
-    open_ = pieces(docs).where("not ended").select("doc_id", "source", F.col("starts.one").alias("one"), F.col("starts.two").alias("two"), F.col("starts.whole").alias("whole"), F.col("starts.tokens").alias("tokens"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+    open_ = pieces(docs).where("not ended").select("doc_id", "source", F.col("starts.one").alias("one"), F.col("starts.two").alias("two"), F.col("starts.whole").alias("whole"), F.col("starts.tokens").alias("tokens"), "own_line", F.col("last").rlike(UNCLOSED).alias("unclosed"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
     level = lambda k, name: stats.where(F.col("level") == k).select(F.col("key").alias(name), F.col("n").alias(f"n{k}"), F.col("terminated").alias(f"t{k}"))
     # a single token may itself be cut: what do the starts with this beginning do
     prefixes = stats.where("level = 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("key"), F.lit(24))), lambda k: F.substr(F.col("key"), F.lit(1), k))).alias("one"), "n", "terminated").groupBy("one").agg(F.sum("n").alias("n0"), F.sum("terminated").alias("t0"))
@@ -108,20 +110,20 @@ def flagged(docs: DataFrame) -> DataFrame:
         """Without the piece itself."""
         return F.when(F.col(f"n{k}") - 1 >= SEEN, F.col(f"t{k}") / (F.col(f"n{k}") - 1))
 
+    # the last token may be cut itself: then the piece is also judged by its start without it
     several = F.col("tokens") >= 2
-    # at a limit an unknown single token is a cut word; elsewhere its beginning must tell
-    got = got.withColumn("share", F.when(several, F.coalesce(share(2), share(1))).otherwise(share(1)))
-    got = got.withColumn("share_prefix", F.when(several, F.col("share")).otherwise(F.coalesce("share", share(0))))
-    # a short piece is a formula if it also stands with a terminator, or without one often enough among its like
+    by_start = F.when(F.col("tokens") >= 3, F.coalesce(share(2), share(1))).when(several, F.greatest(share(2), share(1))).otherwise(F.greatest(share(1), share(0)))
+    got = got.withColumn("share", F.when(F.col("unclosed"), F.lit(1.0)).otherwise(by_start))
+    # a short piece on a line of its own is a formula if it also stands with a terminator, or without one often enough among its like
     bare = F.col("n3") - F.col("t3") - 1
     formula = (F.col("t3") >= SEEN) | ((bare >= SEEN) & (bare >= FORMULA * F.when(several, F.col("n2")).otherwise(F.col("n1"))))
-    got = got.withColumn("formula", F.coalesce(formula, F.lit(False)))
+    got = got.withColumn("formula", F.col("own_line") & F.coalesce(formula, F.lit(False)))
     where = lambda unit: F.broadcast(limits.where(F.col("unit") == unit).select(F.col("source").alias("__s"), F.col("n").alias(unit), F.lit(True).alias(f"at_{unit}")))
     for unit in ("chars", "bytes"):
         lim = where(unit)
         got = got.join(lim, (F.coalesce(got["source"], F.lit("")) == lim["__s"]) & (got[unit] == lim[unit]), "left").drop(lim["__s"]).drop(lim[unit])
     got = got.withColumn("at_limit", F.coalesce("at_chars", "at_bytes", F.lit(False)))
-    cut = F.when(F.col("at_limit"), F.coalesce(F.col("share") >= WEAK, F.lit(True))).otherwise(F.coalesce(F.col("share_prefix") >= STRONG, F.lit(False))) & ~F.col("formula")
+    cut = F.when(F.col("at_limit"), F.coalesce(F.col("share") >= WEAK, F.lit(True))).otherwise(F.coalesce(F.col("share") >= STRONG, F.lit(False))) & ~F.col("formula")
     return got.where(cut).select("doc_id", "source", "at_limit", "share")
 
 
