@@ -29,7 +29,11 @@ MARK = r"(?U)(?:\s*(?:\[(?:more|cut|truncated|cont(?:inued|\.)?|\.\.\.|…)\]|\(
 TERMINATED = r"[.!?।。]['\"”’»)\]]*$"
 BRACKETED = r"(?s)^(?:\(.*\)|\[.*\]|“.*”|\".*\"|«.*»|\*{3}.*\*{3})$"
 UNCLOSED = r"^(?:\([^)]*|\[[^\]]*|“[^”]*|«[^»]*)$"
-PIECES = r"\n|\r|(?<=[.!?।。])\s+"
+SENTENCES = r"(?<=[.!?।。])\s+"
+PIECES = r"\n|\r|" + SENTENCES
+TAIL = 64  # characters; no mark but dots is longer
+#: White space.
+SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -63,30 +67,39 @@ def significant(haz: DataFrame, q: float = FALSE_DISCOVERY) -> DataFrame:
 
 
 def _key(token: Column) -> Column:
-    return F.regexp_replace(token, r"(?U)\p{Nd}+", "0")
+    return F.regexp_replace(token, "[0-9০-৯]+", "0")
 
 
 def _starts(piece: Column) -> Column:
     """First token, first two tokens (null for one token), all of a short piece without its terminator (else null); digits as 0."""
-    tokens = F.filter(F.split(piece, r"(?U)\s+"), lambda t: t != "")
+    # no more tokens than needed are cut off; what remains stays in one
+    tokens = F.filter(F.split(piece, r"\s+", SHORT + 2), lambda t: t != "")
     one, two = _key(F.get(tokens, 0)), _key(F.get(tokens, 1))
     whole = F.when(F.size(tokens) <= SHORT, F.regexp_replace(F.array_join(F.transform(tokens, _key), " "), TERMINATED, ""))
     return F.struct(one.alias("one"), F.when(two.isNotNull(), F.concat(one, F.lit(" "), two)).alias("two"), whole.alias("whole"), F.size(tokens).alias("tokens"))
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """doc_id, source, bare (text without white space and cut marks at its end), last piece, whether it has a line of its own, how it starts and whether it ended."""
-    whole = docs.where("text is not null").withColumn("bare", F.regexp_replace("text", r"(?U)\s+$", ""))
-    whole = whole.withColumn("bare", F.regexp_replace(F.regexp_replace("bare", MARK, ""), r"(?U)\s+$", "")).where("bare <> ''")
-    last = F.element_at(F.split("bare", PIECES), -1)
-    own_line = F.trim(F.element_at(F.split("bare", r"\n|\r"), -1)) == F.trim(last)
-    return whole.select("doc_id", "source", "text", "bare", F.trim(last).alias("last"), own_line.alias("own_line")).withColumns({"ended": F.col("last").rlike(TERMINATED) | F.col("last").rlike(BRACKETED), "starts": _starts(F.col("last"))})
+    """doc_id, source, bare (text without white space and cut marks at its end), last piece, whether it has a line of its own, how it starts and whether it ended.
+
+    Marks stand at the end, so patterns only see the last TAIL characters; dots of any number are taken off before.
+    """
+    end = lambda c: F.rtrim(c, F.lit(SPACE))
+    whole = docs.where("text is not null").withColumn("bare", end(F.col("text")))
+    whole = whole.withColumn("bare", F.when(F.col("bare").endswith("..."), end(F.rtrim("bare", F.lit(".")))).otherwise(F.col("bare")))
+    size = F.greatest(F.lit(0), F.length("bare") - TAIL)
+    marked = F.concat(F.substr(F.col("bare"), F.lit(1), size), F.regexp_replace(F.right("bare", F.lit(TAIL)), MARK, ""))
+    whole = whole.withColumn("bare", end(marked)).where("bare <> ''")
+    line = F.trim(F.substring_index(F.translate("bare", "\r", "\n"), "\n", -1))
+    whole = whole.withColumn("line", line).withColumn("last", F.trim(F.element_at(F.split("line", SENTENCES), -1)))
+    ended = F.right("last", F.lit(8)).rlike(TERMINATED) | F.col("last").rlike(BRACKETED)
+    return whole.select("doc_id", "source", "text", "bare", "last", (F.col("line") == F.col("last")).alias("own_line")).withColumns({"ended": ended, "starts": _starts(F.col("last"))})
 
 
 def start_statistics(docs: DataFrame) -> DataFrame:
     """(level, key, n, terminated) over all pieces of all documents: level 1 by the first token, 2 by two, 3 by all of a short piece. Counted map-side first."""
     each = pieces(docs).select(F.explode(F.filter(F.split("bare", PIECES), lambda p: F.trim(p) != "")).alias("piece"))
-    known = each.select(_starts(F.trim("piece")).alias("s"), F.rtrim("piece").rlike(TERMINATED).cast("int").alias("t"))
+    known = each.select(_starts(F.trim("piece")).alias("s"), F.right(F.rtrim("piece"), F.lit(8)).rlike(TERMINATED).cast("int").alias("t"))
     rows = known.select(F.explode(F.array(F.struct(F.lit(1).alias("level"), F.col("s.one").alias("key")), F.struct(F.lit(2).alias("level"), F.col("s.two").alias("key")), F.struct(F.lit(3).alias("level"), F.col("s.whole").alias("key")))).alias("x"), "t")
     return rows.where("x.key is not null").groupBy("x.level", "x.key").agg(F.count("*").alias("n"), F.sum("t").alias("terminated"))
 
