@@ -42,6 +42,13 @@ FORMS = {
     "id_number": "(?iU)" + ID_CUE + r"[\s.:#]*(?:(?:card|no|nr|number|id)\b[\s.:#]*)*(?:\p{L}{1,3}[\s/-]?)?D(?:[\s/-]?D){3,}".replace("D", D),
     "phone": r"(?iU)(?:(?:\+|\b00)D{1,3}(?:[\s.-]?\(?D{2,6}\)?){2,6}|(?:\b[8৮]{2}[\s-]?)?\b[0০][1১]D(?:[\s.-]?D){8}\b|\([0০]D{1,4}\)\s?D(?:[\s.-]?D){4,8}\b|\b[0০][2-9২-৯]D?[\s-]?D{5,8}\b)".replace("D", D),
 }
+#: What the forms can't do without.
+LOOK = {
+    "email": r"(?i)@|[\[({]\s?at\s?[\])}]|\sdot\s",
+    "address": r"(?i)\bh\s*[#.:0-9]|house|holding|vill|flat|apt|apartment|suite|road|street|lane|avenue|sarani|drive|square|box",
+    "id_number": D + r"(?:[\s/-]?" + D + "){3}",
+    "phone": D + r"(?:[\s().-]*" + D + "){6}",
+}
 PLACEHOLDER = r"\[[A-Za-z_ ]{2,30}\]"
 #: Honorifics and added name parts; they are no names by themselves.
 HONORIFICS = "md mohd mst most mr mrs ms miss dr prof professor sheikh sk begum khatun uddin miah bibi sister brother".split()
@@ -57,14 +64,16 @@ def fields_of(reports: DataFrame) -> DataFrame:
 def typed(fields: DataFrame) -> DataFrame:
     """Adds 'kinds' (array of the kinds found by form) and 'rest', the text with these items and earlier placeholders as #.
 
-    Order matters: what an e-mail, address or number form has taken is no phone.
+    Order matters: what an e-mail, address or number form has taken is no phone. A form is tried only on texts in which a
+    quick look finds what it can't do without.
     """
     steps, out = [], fields.withColumn("rest", F.col("text"))
     for k in FORMS:
-        out = out.withColumn(f"__{k}", F.col("rest").rlike(FORMS[k])).withColumn("rest", F.regexp_replace("rest", FORMS[k], " # "))
+        out = out.withColumn(f"__{k}", F.col("rest").rlike(LOOK[k]) & F.col("rest").rlike(FORMS[k]))
+        out = out.withColumn("rest", F.when(F.col(f"__{k}"), F.regexp_replace("rest", FORMS[k], " # ")).otherwise(F.col("rest")))
         steps.append(F.when(F.col(f"__{k}"), F.lit(k)))
         if k == "email":  # a placeholder may look like the sign of an e-mail, [at]
-            out = out.withColumn("rest", F.regexp_replace("rest", PLACEHOLDER, " # "))
+            out = out.withColumn("rest", F.when(F.col("rest").contains("["), F.regexp_replace("rest", PLACEHOLDER, " # ")).otherwise(F.col("rest")))
     return out.withColumn("kinds", F.array_compact(F.array(*steps))).drop(*(f"__{k}" for k in FORMS))
 
 
@@ -89,27 +98,26 @@ def word_classes(docs: DataFrame, names: DataFrame, stage: Stage) -> DataFrame:
     return stage.write(both.withColumn("cls", cls).where("cls is not null").select("word", "cls", "df", "bits"))
 
 
-def _spots(docs: DataFrame) -> DataFrame:
-    """(report_id, field, word, L1, L2, R1, R2, l, r) of every token: its contexts of one word and of two tokens on either side,
-    and the adjacent tokens. A lone mark is no context."""
-    at = lambda k: F.coalesce(F.get("toks", k), F.when(k < 0, "^").otherwise("$"))
-
-    def spot(t: Column, i: Column) -> Column:
-        l1, l2, r1, r2 = at(i - 1), at(i - 2), at(i + 1), at(i + 2)
-        alone = lambda c: F.when(c.rlike(r"^[\p{L}\p{M}]"), c)
-        return F.struct(t.alias("word"), alone(l1).alias("L1"), F.concat_ws(" ", l2, l1).alias("L2"), alone(r1).alias("R1"), F.concat_ws(" ", r1, r2).alias("R2"), l1.alias("l"), r1.alias("r"))
-
-    return docs.select("report_id", "field", F.explode(F.transform("toks", spot)).alias("s")).select("report_id", "field", "s.*")
+def occurrences(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(report_id, field, word, l2, l, r, r2, cls) of the listed words with their neighbours; ^ and $ beyond the ends."""
+    at = lambda k: F.get("toks", k)
+    spots = F.transform("toks", lambda t, i: F.struct(t.alias("word"), at(i - 2).alias("l2"), at(i - 1).alias("l"), at(i + 1).alias("r"), at(i + 2).alias("r2")))
+    each = docs.select("report_id", "field", F.explode(F.filter(spots, lambda s: F.length(s["word"]) >= 3)).alias("s")).select("report_id", "field", "s.*")
+    met = each.join(classes.select("word", "cls"), "word")
+    return met.select("report_id", "field", "word", *(F.coalesce(c, F.lit(e)).alias(c) for c, e in (("l2", "^"), ("l", "^"), ("r", "$"), ("r2", "$"))), "cls")
 
 
-def _contexts() -> Column:
-    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("ctx"), F.col("l" if k[0] == "L" else "r").alias("next")) for k in ("L1", "L2", "R1", "R2")))
-    return F.explode(F.filter(each, lambda c: c["ctx"].isNotNull()))
+def contexts() -> dict[str, Column]:
+    """The neighbourhoods of an occurrence by kind: one word or two tokens on either side; a lone mark is none."""
+    alone = lambda c: F.when(F.col(c).rlike(r"^[\p{L}\p{M}]"), F.col(c))
+    return {"L1": alone("l"), "L2": F.concat_ws(" ", "l2", "l"), "R1": alone("r"), "R2": F.concat_ws(" ", "r", "r2")}
 
 
-def occurrences(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(report_id, field, word, contexts, l, r, cls) of the listed words."""
-    return _spots(docs).where(F.col("word").rlike(r"^[\p{L}\p{M}]{3,}$")).join(classes.select("word", "cls"), "word")
+def context_totals(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(ctx, n): how often each wanted run of one or two tokens stands in the corpus, beyond the ends included."""
+    padded = F.concat(F.array(F.lit("^"), F.lit("^")), "toks", F.array(F.lit("$"), F.lit("$")))
+    runs = F.concat(F.col("toks"), F.zip_with(padded, F.slice(padded, F.lit(2), F.size(padded) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    return docs.select(F.explode(runs).alias("ctx")).join(wanted.select("ctx").distinct(), "ctx", "left_semi").groupBy("ctx").agg(F.count("*").alias("n"))
 
 
 def judged(docs: DataFrame, occ: DataFrame, classes: DataFrame, stage: Stage) -> DataFrame:
@@ -119,14 +127,16 @@ def judged(docs: DataFrame, occ: DataFrame, classes: DataFrame, stage: Stage) ->
     protected terms were seen in less than twice tell nothing, nor do protected terms as contexts.
     """
     names = classes.where("cls = '@'").select(F.col("word").alias("next"))
-    told = occ.where("cls = '@'").select(_contexts().alias("c")).select("c.*").groupBy("kind", "ctx", "next").agg(F.count("*").alias("k")).where(F.col("k") >= 2)
+    kinds = contexts()
+    each = F.explode(F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("ctx"), F.col("l" if k[0] == "L" else "r").alias("next")) for k, c in kinds.items())), lambda c: c["ctx"].isNotNull()))
+    told = occ.where("cls = '@'").select(each.alias("c")).select("c.*").groupBy("kind", "ctx", "next").agg(F.count("*").alias("k")).where(F.col("k") >= 2)
     told = stage.write(told.join(names, "next", "left_anti").select("kind", "ctx", "k"))
-    total = _spots(docs).select(_contexts().alias("c")).select("c.kind", "c.ctx").join(told, ["kind", "ctx"], "left_semi").groupBy("kind", "ctx").agg(F.count("*").alias("n"))
+    total = context_totals(docs, told)
     n_all = docs.agg(F.coalesce(F.sum(F.size("toks")), F.lit(0))).first()[0]
     p0 = max(1e-6, min(0.5, occ.where("cls = '@'").count() / max(1, n_all)))
     q = (F.col("k") + PRIOR * p0) / (F.col("n") + PRIOR)
-    known = stage.write(told.join(total, ["kind", "ctx"]).withColumn("gain", F.log(q / (1 - q)) - F.log(F.lit(p0 / (1 - p0)))).select("kind", "ctx", "gain"))
-    got = occ
+    known = stage.write(told.join(total, "ctx").withColumn("gain", F.log(q / (1 - q)) - F.log(F.lit(p0 / (1 - p0)))).select("kind", "ctx", "gain"))
+    got = occ.withColumns(kinds)
     for kind in ("L1", "L2", "R1", "R2"):
         got = got.join(known.where(F.col("kind") == kind).select(F.col("ctx").alias(kind), F.col("gain").alias(f"g{kind}")), kind, "left")
     side = lambda s: F.coalesce(F.greatest(f"g{s}1", f"g{s}2"), F.lit(0.0))
