@@ -79,27 +79,33 @@ def _starts(piece: Column) -> Column:
     return F.struct(one.alias("one"), F.when(two.isNotNull(), F.concat(one, F.lit(" "), two)).alias("two"), whole.alias("whole"), F.size(tokens).alias("tokens"))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: a filter on them isn't pushed below them, which would compute them again."""
+    made = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("__once")
+    return df.select("*", made).select(*(F.col(c) for c in df.columns), *(F.col(f"__once.{n}").alias(n) for n in columns))
+
+
 def pieces(docs: DataFrame) -> DataFrame:
     """doc_id, source, bare (text without white space and cut marks at its end), last piece, whether it has a line of its own, how it starts and whether it ended.
 
     Marks stand at the end, so patterns only see the last TAIL characters; dots of any number are taken off before.
     """
     end = lambda c: F.rtrim(c, F.lit(SPACE))
-    whole = docs.where("text is not null").withColumn("bare", end(F.col("text")))
+    whole = once(docs.where("text is not null").select("doc_id", "source", "text"), bare=end(F.col("text")))
     whole = whole.withColumn("bare", F.when(F.col("bare").endswith("..."), end(F.rtrim("bare", F.lit(".")))).otherwise(F.col("bare")))
     size = F.greatest(F.lit(0), F.length("bare") - TAIL)
     marked = F.concat(F.substr(F.col("bare"), F.lit(1), size), F.regexp_replace(F.right("bare", F.lit(TAIL)), MARK, ""))
-    whole = whole.withColumn("bare", end(marked)).where("bare <> ''")
-    line = F.trim(F.substring_index(F.translate("bare", "\r", "\n"), "\n", -1))
-    whole = whole.withColumn("line", line).withColumn("last", F.trim(F.element_at(F.split("line", SENTENCES), -1)))
+    whole = once(whole, marked=end(marked)).drop("bare").withColumnRenamed("marked", "bare").where("bare <> ''")
+    whole = once(whole, line=F.trim(F.substring_index(F.translate("bare", "\r", "\n"), "\n", -1)))
+    whole = once(whole, last=F.trim(F.element_at(F.split("line", SENTENCES), -1)))
     ended = F.right("last", F.lit(8)).rlike(TERMINATED) | F.col("last").rlike(BRACKETED)
-    return whole.select("doc_id", "source", "text", "bare", "last", (F.col("line") == F.col("last")).alias("own_line")).withColumns({"ended": ended, "starts": _starts(F.col("last"))})
+    return once(whole, ended=ended).select("doc_id", "source", "text", "bare", "last", (F.col("line") == F.col("last")).alias("own_line"), "ended", _starts(F.col("last")).alias("starts"))
 
 
 def start_statistics(docs: DataFrame) -> DataFrame:
     """(level, key, n, terminated) over all pieces of all documents: level 1 by the first token, 2 by two, 3 by all of a short piece. Counted map-side first."""
-    each = pieces(docs).select(F.explode(F.filter(F.split("bare", PIECES), lambda p: F.trim(p) != "")).alias("piece"))
-    known = each.select(_starts(F.trim("piece")).alias("s"), F.right(F.rtrim("piece"), F.lit(8)).rlike(TERMINATED).cast("int").alias("t"))
+    each = pieces(docs).select(F.explode(F.split("bare", PIECES)).alias("piece"))
+    known = each.where("trim(piece) <> ''").select(_starts(F.trim("piece")).alias("s"), F.right(F.rtrim("piece"), F.lit(8)).rlike(TERMINATED).cast("int").alias("t"))
     rows = known.select(F.explode(F.array(F.struct(F.lit(1).alias("level"), F.col("s.one").alias("key")), F.struct(F.lit(2).alias("level"), F.col("s.two").alias("key")), F.struct(F.lit(3).alias("level"), F.col("s.whole").alias("key")))).alias("x"), "t")
     return rows.where("x.key is not null").groupBy("x.level", "x.key").agg(F.count("*").alias("n"), F.sum("t").alias("terminated"))
 
