@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -37,6 +39,33 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + shared * 0.1 * (1 - jaro)
 
 
+@lru_cache(maxsize=200_000)
+def _letters(text: str) -> tuple[tuple[str, int], ...]:
+    return tuple(sorted(Counter(text).items()))
+
+
+def may_reach(a: str, b: str, least: float) -> bool:
+    """False only if the score can't be ``least``: no more letters match than both have in common."""
+    if not a or not b:
+        return a == b
+    other = dict(_letters(b))
+    common = sum(min(n, other.get(c, 0)) for c, n in _letters(a))
+    jaro = (common / len(a) + common / len(b) + 1) / 3 if common else 0.0
+    shared = sum(1 for _ in takewhile(lambda xy: xy[0] == xy[1], zip(a[:4], b[:4])))
+    return jaro + shared * 0.1 * (1 - jaro) >= least - 1e-9
+
+
+def jaro_winkler_from(least: float):
+    """Column function of two texts: their score where it is ``least`` or more, else null; null for a null text."""
+
+    @F.pandas_udf(T.DoubleType())
+    def f(a: pd.Series, b: pd.Series) -> pd.Series:
+        scores = (jaro_winkler(x, y) if x is not None and y is not None and may_reach(x, y, least) else None for x, y in zip(a, b))
+        return pd.Series([v if v is not None and v >= least else None for v in scores], dtype="float64")
+
+    return f
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed import SIMILAR_NAME
-from ..functions.similarity import jaro_winkler_udf
+from ..functions.similarity import jaro_winkler_from
 from ..session import Stage
 from .components import connected_components
 
@@ -86,8 +86,8 @@ def similar_names(recs: DataFrame) -> DataFrame:
     most = (2 + ratio) / 3
     bound = most + 0.1 * shared * (1 - most)
     pairs = a.join(b, ["sex", "first", "band"]).where((F.col("name_part_a") != F.col("name_part_b")) & ((F.col("name_norm_a") < F.col("name_norm_b")) | ((F.col("name_norm_a") == F.col("name_norm_b")) & (F.col("name_part_a") < F.col("name_part_b")))) & (bound >= SIMILAR_NAME - 1e-9))
-    scored = pairs.withColumn("score", jaro_winkler_udf("name_norm_a", "name_norm_b"))
-    return scored.where(F.col("score") >= SIMILAR_NAME).select("sex", "name_part_a", "name_norm_a", "name_part_b", "name_norm_b", "score")
+    scored = pairs.withColumn("score", jaro_winkler_from(SIMILAR_NAME)("name_norm_a", "name_norm_b"))
+    return scored.where(F.col("score").isNotNull()).select("sex", "name_part_a", "name_norm_a", "name_part_b", "name_norm_b", "score")
 
 
 def similar_pairs(recs: DataFrame, clusters: DataFrame, reviewed: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as X
 from ..functions import keys as K
 from ..functions.scrub import own_id_pattern, pattern_hits
+from ..session import Stage
 
 WORD = "[a-z]{2,}"
 
@@ -61,7 +62,8 @@ def record_issues(df: DataFrame, vocab_names: DataFrame, block_pending: bool = T
     The words of a record that are other people's names come from a join on the word, not from a collected list.
     """
     body = body_of([F.col(c) for c in X_FIELDS])
-    df = df.withColumn("__body", body).withColumn("__words", F.array_distinct(words(F.col("__body"))))
+    # written once: both the search for foreign words and the checks read it
+    df = Stage(df.sparkSession, "checks").write(df.withColumn("__body", body).withColumn("__words", F.array_distinct(words(F.col("__body")))))
     foreign = df.select("uid", F.explode("__words").alias("word")).join(vocab_names, "word", "left_semi").groupBy("uid").agg(F.collect_set("word").alias("__foreign"))
     df = df.join(foreign, "uid", "left")
     listed = lambda terms: F.array_sort(F.array_intersect(terms, F.col("__words")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from radveil.functions import fields as V
 from radveil.functions import keys as K
-from radveil.functions.similarity import jaro_winkler
+from radveil.functions.similarity import jaro_winkler, may_reach
 
 
 def column(spark, values, f, kind="string"):
@@ -78,6 +78,17 @@ def test_jaro_winkler():
     assert jaro_winkler("dwayne", "duane") == pytest.approx(0.84, abs=1e-3)
 
 
+def test_quick_look_loses_no_similar_pair():
+    import random
+
+    rng = random.Random(0)
+    word = lambda: "".join(rng.choice("abcde ") for _ in range(rng.randrange(0, 12)))
+    for _ in range(20_000):
+        a, b = word(), word()
+        if jaro_winkler(a, b) >= 0.92:
+            assert may_reach(a, b, 0.92)
+
+
 def test_fuzzy_month_is_difflib():
     for w in ("agust", "septembr", "januray", "xxxx"):
         near = difflib.get_close_matches(w, ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"], 1, 0.7)
