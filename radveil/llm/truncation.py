@@ -2,9 +2,10 @@
 
 Lengths: per source and unit (characters, bytes) the discrete hazard of ending at a length is the number of texts
 of that length over those at least as long, both by window functions. It is tested against the hazard of the
-neighbouring lengths; Benjamini-Hochberg controls the false discoveries over all tests.
+neighbouring lengths; Benjamini-Hochberg controls the false discoveries over all tests. Copies of a text count once.
 
-Endings: how sentences with a given start end in this corpus is counted over all documents. A text whose last piece
+Endings: how sentences with a given start end in this corpus is counted over all distinct texts, for the copies of a cut
+text would make its ending look usual. A text whose last piece
 has no terminator is incomplete if pieces with such a start mostly have one. At significant lengths weaker evidence is
 enough; elsewhere (a transfer that broke off) the start must be known as that of a terminated sentence.
 """
@@ -37,9 +38,9 @@ SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u
 
 
 def lengths(docs: DataFrame) -> DataFrame:
-    """(source, unit, n): lengths of the non-empty texts in characters and bytes."""
-    each = docs.where("text is not null and length(text) > 0")
-    return each.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("n")))).alias("x")).select("source", "x.unit", "x.n")
+    """(source, unit, n): lengths of the distinct non-empty texts of each source in characters and bytes."""
+    each = docs.where("text is not null and length(text) > 0").select("source", F.xxhash64("text").alias("h"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes")).distinct()
+    return each.select("source", F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("n")) for u in ("chars", "bytes")))).alias("x")).select("source", "x.unit", "x.n")
 
 
 def hazards(docs: DataFrame) -> DataFrame:
@@ -103,8 +104,8 @@ def pieces(docs: DataFrame) -> DataFrame:
 
 
 def start_statistics(docs: DataFrame) -> DataFrame:
-    """(level, key, n, terminated) over all pieces of all documents: level 1 by the first token, 2 by two, 3 by all of a short piece. Counted map-side first."""
-    each = pieces(docs).select(F.explode(F.split("bare", PIECES)).alias("piece"))
+    """(level, key, n, terminated) over all pieces of all distinct texts: level 1 by the first token, 2 by two, 3 by all of a short piece. Counted map-side first."""
+    each = pieces(docs).select("bare").distinct().select(F.explode(F.split("bare", PIECES)).alias("piece"))
     known = each.where("trim(piece) <> ''").select(_starts(F.trim("piece")).alias("s"), F.right(F.rtrim("piece"), F.lit(8)).rlike(TERMINATED).cast("int").alias("t"))
     rows = known.select(F.explode(F.array(F.struct(F.lit(1).alias("level"), F.col("s.one").alias("key")), F.struct(F.lit(2).alias("level"), F.col("s.two").alias("key")), F.struct(F.lit(3).alias("level"), F.col("s.whole").alias("key")))).alias("x"), "t")
     return rows.where("x.key is not null").groupBy("x.level", "x.key").agg(F.count("*").alias("n"), F.sum("t").alias("terminated"))

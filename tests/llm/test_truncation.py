@@ -52,3 +52,15 @@ def test_long_and_empty(spark):
     df = spark.createDataFrame([(1, "word " * 100_000, "a"), (2, "x", None)], SCHEMA)
     assert T.found(df).count() == 0
     assert T.found(df.limit(0)).count() == 0 and T.rates(df.limit(0)).count() == 0
+
+
+def test_copies_are_no_evidence(spark):
+    nouns = "lung liver spleen kidney bladder femur colon ovary thymus tibia".split()
+    rows = [(k, f"Compared with the last scan the {n} is smaller.", "a") for k, n in enumerate(nouns)]
+    rows += [(100 + k, "No mass. Compared with the last scan the li", "a") for k in range(80)]
+    rows += [(300 + k, "Nothing else.\nThe mass is", "b") for k in range(40)] + [(400 + k, f"The mass {w}.", "b") for k, w in enumerate(nouns)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id for r in T.found(df).collect()} == {*range(100, 180), *range(300, 340)}
+    assert {r.source: r.n_cut for r in T.rates(df).collect()} == {"a": 80, "b": 40}
+    once = df.dropDuplicates(["source", "text"])
+    assert sorted(map(tuple, T.lengths(df).collect())) == sorted(map(tuple, T.lengths(once).collect()))
