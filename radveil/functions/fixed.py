@@ -68,28 +68,57 @@ REGIONS = {
 
 # Name honorifics, stop words, thresholds.
 TITLES = (
-    "mr mrs ms miss md mohammad mohammed muhammad mohamed mohd mohammod muhammed mohamad mst most mosammat mossammat mosamat "
-    "musammat mosammet dr prof late alhaj haji hajee hazi janab sri shri srimoti smt"
-).split()
-STOP_WORDS = "the and with for are was were not seen noted both left right".split()
+    "mr", "mrs", "ms", "miss", "md", "mohammad", "mohammed", "muhammad", "mohamed", "mohd", "mohammod", "muhammed", "mohamad", "mst", "most",
+    "mosammat", "mossammat", "mosamat", "musammat", "mosammet", "dr", "prof", "late", "alhaj", "haji", "hajee", "hazi", "janab", "sri", "shri",
+    "srimoti", "smt",
+)
+STOP_WORDS = (
+    "the", "and", "with", "for", "are", "was", "were", "not", "seen", "noted", "both", "left", "right",
+)
 SIMILAR_NAME = 0.92
 VOCABULARY_MIN_DOCS = 3
 
 # DICOM tag groups.
 REMOVE_TAGS = (
-    "PatientBirthDate PatientBirthTime PatientAddress PatientTelephoneNumbers OtherPatientIDs OtherPatientIDsSequence "
-    "OtherPatientNames PatientMotherBirthName MedicalRecordLocator IssuerOfPatientID AccessionNumber StudyID "
-    "InstitutionName InstitutionAddress InstitutionalDepartmentName StationName DeviceSerialNumber "
-    "RequestAttributesSequence AdmittingDiagnosesDescription AdditionalPatientHistory PatientComments ImageComments "
-    "StudyComments CountryOfResidence RegionOfResidence Occupation PatientReligiousPreference "
-    "PatientInsurancePlanCodeSequence MilitaryRank BranchOfService"
-).split()
-DATE_TAGS = "StudyDate SeriesDate AcquisitionDate ContentDate".split()
-UID_TAGS = "StudyInstanceUID SeriesInstanceUID SOPInstanceUID FrameOfReferenceUID".split()
-PIXEL_RISK_MODALITIES = "US SC OT XC SR DOC".split()
-OLE_FIELDS = "author last_saved_by title subject keywords comments company manager".split()
+    "PatientBirthDate", "PatientBirthTime", "PatientAddress", "PatientTelephoneNumbers", "OtherPatientIDs", "OtherPatientIDsSequence",
+    "OtherPatientNames", "PatientMotherBirthName", "MedicalRecordLocator", "IssuerOfPatientID", "AccessionNumber", "StudyID", "InstitutionName",
+    "InstitutionAddress", "InstitutionalDepartmentName", "StationName", "DeviceSerialNumber", "RequestAttributesSequence",
+    "AdmittingDiagnosesDescription", "AdditionalPatientHistory", "PatientComments", "ImageComments", "StudyComments", "CountryOfResidence",
+    "RegionOfResidence", "Occupation", "PatientReligiousPreference", "PatientInsurancePlanCodeSequence", "MilitaryRank", "BranchOfService",
+)
+DATE_TAGS = (
+    "StudyDate", "SeriesDate", "AcquisitionDate", "ContentDate",
+)
+UID_TAGS = (
+    "StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID", "FrameOfReferenceUID",
+)
+PIXEL_RISK_MODALITIES = (
+    "US", "SC", "OT", "XC", "SR", "DOC",
+)
+OLE_FIELDS = (
+    "author", "last_saved_by", "title", "subject", "keywords", "comments", "company", "manager",
+)
 OLE_MAGIC = "D0CF11E0A1B11AE1"
 
+# Elements of value representation PN in the public DICOM dictionary, by keyword.
+PERSON_NAME_TAGS = (
+    "ConsultingPhysicianName", "ContentCreatorName", "DistributionName", "EvaluatorName", "HumanPerformerName", "InterpretationAuthor",
+    "InterpretationRecorder", "InterpretationTranscriber", "NameOfPhysiciansReadingStudy", "NamesOfIntendedRecipientsOfResults",
+    "OperatorsName", "OrderEnteredBy", "OtherPatientNames", "PatientBirthName", "PatientMotherBirthName", "PatientName",
+    "PerformingPhysicianName", "PersonName", "PhysicianApprovingInterpretation", "PhysiciansOfRecord", "ReferringPhysicianName",
+    "RequestingPhysician", "ResponsiblePerson", "ReviewerName", "ROIInterpreter", "ScheduledPerformingPhysicianName",
+    "SecondaryReviewerName", "VerifyingObserverName",
+)
+# Elements of the same dictionary whose keyword sounds like a person's but that name a thing.
+NO_PERSON_TAGS = (
+    "ManufacturerModelName", "DetectorManufacturerModelName", "ChannelDerivationDescription", "ApplicationName", "BeamName", "CodingSchemeName",
+    "ContextGroupName", "DeviceModelName", "DoseReferenceName", "FilterMaterialUsageName", "HangingProtocolName", "PulseSequenceName", "RTPlanName",
+    "ScheduledStationName", "PerformedStationName", "SequenceName", "TreatmentMachineName", "StructureSetName", "TableName", "ROIName",
+    "OperatorIdentificationSequence", "PersonIdentificationCodeSequence", "ReferringPhysicianIdentificationSequence",
+    "PerformingPhysicianIdentificationSequence", "PhysiciansOfRecordIdentificationSequence", "RequestingPhysicianIdentificationSequence",
+)
+DEIDENTIFICATION_METHOD = "radveil: person names, private and listed tags removed, dates shifted, UIDs remapped"
+
 
 def java(pattern: str, ignore_case: bool = False) -> str:
     """The pattern with Python's Unicode classes and case rules in Java's dialect."""

@@ -19,6 +19,7 @@ from .fixed import TITLES
 
 SEPARATOR = "\x1f"
 VOWELS_AND_SOFT = "[aeiouyhw]"  # Fixed value: letters dropped from masked names
+LINK_LABEL = b"ksrl-link-v1"  # Fixed value: hashes must equal those of earlier data
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class LinkKey:
     def bytes(self) -> bytes:
         if self.key_file:
             with open(self.key_file) as f:
-                return derive(base64.b64decode(f.read().strip()), b"ksrl-link-v1")
+                return derive(base64.b64decode(f.read().strip()), LINK_LABEL)
         return self.secret or b""
 
     def pads(self) -> tuple[bytes, bytes]:
@@ -75,7 +76,7 @@ def _executor_hash(key_file: str, domain: str, n: int):
 def significant_tokens(name: Column) -> Column:
     """Lower-case runs of two or more letters a-z that are no honorific; repeats stay, order stays."""
     runs = F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
-    return F.filter(runs, lambda t: (F.length(t) > 1) & ~t.isin(TITLES))
+    return F.filter(runs, lambda t: (F.length(t) > 1) & ~t.isin(*TITLES))
 
 
 def mask_token(token: Column) -> Column:

@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Stage
-from .skew import lookup
+from .skew import hot_of, lookup
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    """pairs (a, b) with a > b; links to the smallest neighbour."""
+def _star(pairs: DataFrame, large: bool, stage: Stage) -> DataFrame:
+    """pairs (a, b) with a > b; links to the smallest neighbour. Hot nodes are known from the aggregate that finds it."""
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("__v")).select("u", F.least("u", "__v").alias("m"))
-    met = lookup(both, least, ["u"])
+    least = stage.write(both.groupBy("u").agg(F.min("v").alias("__v"), F.count("*").alias("n")).select("u", F.least("u", "__v").alias("m"), "n"))
+    met = lookup(both, least.drop("n"), ["u"], hot=hot_of(least, ["u"], "n"))
     if large:
         out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     nodes = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
     now, print_ = first.where("a <> b"), None
     for _ in range(max_rounds):
-        step = stage.write(_star(_star(now, True), False))
+        step = stage.write(_star(stage.write(_star(now, True, stage)), False, stage))
         mark = tuple(step.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now is not first and hasattr(now, "_radveil_path"):
             stage.drop(now)

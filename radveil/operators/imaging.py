@@ -52,7 +52,7 @@ def unlinked(headers: DataFrame, linked: DataFrame) -> DataFrame:
 def needs_pixel_review() -> Column:
     """Flag by burned-in annotation, modality or image type; missing tags count as empty."""
     has = lambda t: F.upper(F.coalesce(tag(t), F.lit("")))
-    return (has("BurnedInAnnotation") == "YES") | F.coalesce(tag("Modality").isin(X.PIXEL_RISK_MODALITIES), F.lit(False)) | has("ImageType").contains("SECONDARY") | has("ImageType").contains("SCREEN")
+    return (has("BurnedInAnnotation") == "YES") | F.coalesce(tag("Modality").isin(*X.PIXEL_RISK_MODALITIES), F.lit(False)) | has("ImageType").contains("SECONDARY") | has("ImageType").contains("SCREEN")
 
 
 def new_uids(key: K.LinkKey):
@@ -66,26 +66,41 @@ def new_uids(key: K.LinkKey):
     return f
 
 
+def is_gone(keyword: Column) -> Column:
+    """Must a header entry go: listed ones with all beneath, private ones, person names at any depth.
+
+    Entries inside sequences are named by their path, as 'RequestAttributesSequence[0].RequestingPhysician'; private ones
+    have an odd group, as '(0009,1001)', or say so. Names are those of the dictionary's PN elements, and, so that an
+    unknown keyword fails closed, whatever ends like a person or a name and is no known thing.
+    """
+    parts = F.split(F.regexp_replace(keyword, r"\[\d*\]", ""), r"\.")
+    last = F.element_at(parts, -1)
+    private = F.exists(parts, lambda p: p.rlike(r"(?i)private|^\(?[0-9a-f]{3}[13579bdf],?\s*[0-9a-f]{4}\)?$"))
+    sounds = last.rlike(r"(?:Names?|Physicians?(?:OfRecord)?|Persons?|Operators?|Author|Recorder|Transcriber|Reviewer|Interpreter|Performer|Approver)$") & ~last.isin(*X.NO_PERSON_TAGS)
+    return F.get(parts, 0).isin(*X.REMOVE_TAGS) | private | last.isin(*X.PERSON_NAME_TAGS) | sounds
+
+
 def deidentified_headers(headers: DataFrame, linked: DataFrame, identity: DataFrame, shifts: DataFrame, key: K.LinkKey = K.PUBLIC_TEST_KEY) -> DataFrame:
     """(file, report_uid, study_id, needs_pixel_review, tags) of linked files.
 
-    Listed, private ('private' in the name or an odd group) and person-name tags go; patient name and id become the
-    research id; ages from 90 become 090Y; the four dates move by the patient's shift; the four UIDs are remapped.
+    Listed, private and person-name entries go (is_gone); patient name and id become the research id; ages from 90 become
+    090Y; the four dates move by the patient's shift; the four UIDs are remapped. Null or missing tags stay missing.
     """
     who = identity.groupBy("uid").agg(F.min("research_patient_id").alias("research_patient_id"))
     got = headers.dropDuplicates(["file"]).join(linked.select("file", "uid"), "file").join(who, "uid").join(shifts, "research_patient_id")
     remap = new_uids(key)
     for t in X.UID_TAGS:
         got = got.withColumn(f"__{t}", remap(tag(t)))
-    gone = F.map_filter("tags", lambda k, v: ~k.isin(X.REMOVE_TAGS) & ~k.rlike(r"(?i)^private|Name$|PatientName"))
+    gone = F.map_filter(F.coalesce("tags", F.create_map().cast("map<string,string>")), lambda k, v: ~is_gone(k))
     age = lambda v: F.when(v.rlike(r"^\d{3}Y$") & (F.substring(v, 1, 3).try_cast("int") >= 90), F.lit("090Y")).otherwise(v)
     moved = lambda v: F.coalesce(F.date_format(F.date_add(study_day(v), F.col("shift_days")), "yyyyMMdd"), v)
     kept = F.transform_values(
         gone,
-        lambda k, v: F.when(k.isin("PatientName", "PatientID"), F.col("research_patient_id")).when(k == "PatientAge", age(v)).when(k.isin(X.DATE_TAGS), moved(v)).when(k == X.UID_TAGS[0], F.col(f"__{X.UID_TAGS[0]}")).when(k == X.UID_TAGS[1], F.col(f"__{X.UID_TAGS[1]}")).when(k == X.UID_TAGS[2], F.col(f"__{X.UID_TAGS[2]}")).when(k == X.UID_TAGS[3], F.col(f"__{X.UID_TAGS[3]}")).otherwise(v),
+        lambda k, v: F.when(k == "PatientAge", age(v)).when(k.isin(*X.DATE_TAGS), moved(v)).when(k == X.UID_TAGS[0], F.col(f"__{X.UID_TAGS[0]}")).when(k == X.UID_TAGS[1], F.col(f"__{X.UID_TAGS[1]}")).when(k == X.UID_TAGS[2], F.col(f"__{X.UID_TAGS[2]}")).when(k == X.UID_TAGS[3], F.col(f"__{X.UID_TAGS[3]}")).otherwise(v),
     )
-    fixed = F.create_map(F.lit("PatientName"), F.col("research_patient_id"), F.lit("PatientID"), F.col("research_patient_id"), F.lit("PatientIdentityRemoved"), F.lit("YES"))
-    tags = F.map_concat(F.map_filter(kept, lambda k, v: ~k.isin("PatientName", "PatientID", "PatientIdentityRemoved")), fixed)
+    own = {"PatientName": F.col("research_patient_id"), "PatientID": F.col("research_patient_id"), "PatientIdentityRemoved": F.lit("YES"), "DeidentificationMethod": F.lit(X.DEIDENTIFICATION_METHOD)}
+    fixed = F.create_map(*(x for k, v in own.items() for x in (F.lit(k), v)))
+    tags = F.map_concat(F.map_filter(kept, lambda k, v: ~k.isin(*own)), fixed)
     return got.select("file", F.col("uid").alias("report_uid"), F.coalesce("__StudyInstanceUID", F.lit("")).alias("study_id"), needs_pixel_review().alias("needs_pixel_review"), tags.alias("tags"))
 
 

@@ -9,6 +9,7 @@ from ..functions import fixed as X
 from ..functions import keys as K
 from ..functions.scrub import own_id_pattern, pattern_hits
 from ..session import Stage
+from .ranking import numbered
 
 WORD = "[a-z]{2,}"
 
@@ -27,7 +28,7 @@ def vocabulary(bodies: DataFrame, text: str, min_docs: int = X.VOCABULARY_MIN_DO
 def other_names(names: DataFrame, name: str, vocab: DataFrame) -> DataFrame:
     """Distinct tokens of four letters or more of the names that are no vocabulary, honorific or stop word."""
     toks = names.select(F.explode(words(F.col(name))).alias("word")).where(F.length("word") >= 4).distinct()
-    return toks.where(~F.col("word").isin(X.TITLES + X.STOP_WORDS)).join(vocab.select("word"), "word", "left_anti")
+    return toks.where(~F.col("word").isin(*X.TITLES, *X.STOP_WORDS)).join(vocab.select("word"), "word", "left_anti")
 
 
 def term_sets(rows: DataFrame, vocab: DataFrame, uid: str, name: str, stem_tokens: str, meta: str) -> DataFrame:
@@ -106,8 +107,8 @@ def human_sample(passed: DataFrame, key: str, fraction: float = 0.05, minimum: i
     """Exactly sample_size rows, uniform without replacement: the smallest random numbers, or smallest seeded hashes of ``key``."""
     n = passed.count()
     size = min(n, max(minimum, round(n * fraction)))
-    order = F.rand() if seed is None else F.sha2(F.concat(F.lit(seed), F.col(key)), 256)
-    return passed.orderBy(order, key).limit(size)
+    drawn = passed.withColumn("__draw", F.rand().cast("string") if seed is None else F.sha2(F.concat(F.lit(seed), F.col(key)), 256))
+    return numbered(drawn, "__at", "__draw", key).where(F.col("__at") < size).drop("__draw", "__at")
 
 
 def issue_counts(rows: DataFrame) -> DataFrame:

@@ -39,9 +39,10 @@ def require_no_leak(reports: DataFrame) -> None:
         raise ReleaseBlocked(f"identifier patterns in records, among them {found}")
 
 
-def patient_rollup(reports: DataFrame, order: str = "report_seq") -> DataFrame:
-    """Per patient: sex of the first row by ``order`` (staged order), reports, age band of the first report, follow-up days, modalities."""
-    at = F.struct(F.col(order), F.col("report_id"))
+def patient_rollup(reports: DataFrame, order: str = "file_index") -> DataFrame:
+    """Per patient: sex of the first row by ``order`` (staged order: that of the files), reports, age band of the first report,
+    follow-up days, modalities. Rows without a place in the order come last."""
+    at = F.struct(F.col(order).isNull(), F.col(order), F.col("report_id"))
     first = F.struct(F.col("report_seq"), F.col("report_id"))
     return reports.groupBy("research_patient_id").agg(
         F.min_by("sex", at).alias("sex"),
@@ -74,4 +75,5 @@ def small_cells(reports: DataFrame, k_min: int = 5) -> DataFrame:
 
 
 def released_columns(staged: DataFrame) -> DataFrame:
-    return staged.where(F.col("qa_status").isin("passed", "passed_override")).select(*REPORT_COLUMNS)
+    """The passed rows with the released columns, and file_index, which orders them and isn't released."""
+    return staged.where(F.col("qa_status").isin("passed", "passed_override")).select(*REPORT_COLUMNS, "file_index")

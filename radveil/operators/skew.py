@@ -18,20 +18,25 @@ def hot_keys(df: DataFrame, keys: list[str]) -> list:
 
     The counts are aggregated before the shuffle.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    total = counts.agg(F.sum("__n")).first()[0] or 0
+    return hot_of(df.groupBy(*keys).agg(F.count("*").alias("__n")), keys, "__n")
+
+
+def hot_of(counts: DataFrame, keys: list[str], n: str) -> list:
+    """The same where the rows of each key are counted already, in column ``n``."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
     if total < HOT_ROWS:
         return []
-    return counts.where(F.col("__n") >= max(HOT_ROWS * HOT_SHARE, total * HOT_SHARE)).select(*keys).collect()
+    return counts.where(F.col(n) >= total * HOT_SHARE).select(*keys).collect()
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: list | None = None) -> DataFrame:
     """left join right where ``right`` holds each key once; nulls match nothing.
 
     Rows of hot keys meet a broadcast of those keys' right rows, whose number is bounded by
-    1 / HOT_SHARE; all others go through an ordinary join.
+    1 / HOT_SHARE; all others go through an ordinary join. ``hot``: the hot keys where they are known; else they are counted.
     """
-    hot = hot_keys(left.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))), keys)
+    if hot is None:
+        hot = hot_keys(left.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))), keys)
     if not hot:
         return left.join(right, keys, how)
     few = left.sparkSession.createDataFrame(hot, left.select(*keys).schema)

@@ -52,9 +52,9 @@ def staged(recs: DataFrame, identity: DataFrame, shifts: DataFrame, images: Data
             "qa_issues": F.array_join("issues", ";"),
         }
     )
-    return stage.write(out.select(*STAGED.names, "uid", "file_index", F.col("rel").alias("source_file"), "issues", F.coalesce("decision", F.lit("")).alias("decision")))
+    return stage.write(out.select(*STAGED.names, "uid", F.col("rel").alias("source_file"), "issues", F.coalesce("decision", F.lit("")).alias("decision")))
 
 
 def issue_rows(rows: DataFrame) -> DataFrame:
-    """Rows with an issue or any override, for the reviewer."""
-    return rows.where((F.size("issues") > 0) | (F.col("decision") != "")).select("report_id", "source_file", "qa_status", F.col("qa_issues").alias("issues"))
+    """Rows with an issue or any override, for the reviewer; null issues or decisions count as none."""
+    return rows.where((F.coalesce(F.size("issues"), F.lit(0)) > 0) | (F.coalesce("decision", F.lit("")) != "")).select("report_id", "source_file", "qa_status", F.col("qa_issues").alias("issues"))

@@ -18,6 +18,7 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("raw", "secure", "research", "key-file"):
         ap.add_argument(f"--{name}", type=Path, required=True)
     ap.add_argument("--converter", help="path of the Word-to-text converter")
+    ap.add_argument("--checkpoint-dir", help="folder that all executors share, for intermediate tables (spark.checkpoint.dir); needed on a cluster")
     ap.add_argument("--limit", type=int, help="only the first N files")
     ap.add_argument("--allow-pending-linkage", action="store_true", help="don't hold back records under linkage review")
     ap.add_argument("--input", help="dicom: Parquet table of headers (file, tags)")
@@ -26,7 +27,7 @@ def main(argv: list[str] | None = None) -> int:
     for p in (cfg.secure_dir, cfg.research_dir):
         if p == cfg.raw_dir or cfg.raw_dir in p.parents:
             ap.error(f"{p} lies inside the raw folder")
-    spark = build_session()
+    spark = build_session(**({"spark.checkpoint.dir": a.checkpoint_dir} if a.checkpoint_dir else {}))
     try:
         if a.command == "run":
             print(json.dumps(pipeline.run(spark, cfg), indent=2))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import imaging, inventory, linkage, qa, release, staging, state
-from ..session import Stage
+from ..session import Stage, ship
 from ..sources import files as src
 from ..sources import sinks
 from ..sources.vault import Vault
@@ -20,6 +20,7 @@ from ..sources.vault import Vault
 
 @dataclass
 class Config:
+    # The defaults of the figures below.
     raw_dir: Path
     secure_dir: Path
     research_dir: Path
@@ -102,6 +103,7 @@ def run_summary(recs: DataFrame, inv: DataFrame, review: DataFrame, pending: Dat
 def run(spark: SparkSession, cfg: Config) -> dict:
     """Extract, parse, link, assign, scrub, check, persist; returns the summary."""
     began = time.time()
+    ship(spark)
     vault = Vault(cfg.secure_dir, cfg.key_file)
     listed, locks = src.list_source_files(spark, str(cfg.raw_dir), cfg.limit)
     files = Stage(spark, "extract").write(src.extract(listed, str(cfg.raw_dir), src.find_converter(cfg.converter)))
@@ -112,11 +114,11 @@ def run(spark: SparkSession, cfg: Config) -> dict:
     if not (d / "qa_overrides.csv").exists():
         sinks.write_reviewer_csv(spark.createDataFrame([], S.OVERRIDES), d / "qa_overrides.csv", S.OVERRIDES.names)
     t = run_tables(files, cfg, vault, decisions, src.read_reviewer_csv(spark, str(d / "qa_overrides.csv"), S.OVERRIDES))
-    sinks.write_reviewer_csv(t["inventory"].orderBy("file_index"), d / "inventory.csv", S.INVENTORY_COLUMNS)
+    sinks.write_csv_parts(t["inventory"].orderBy("file_index"), str(d / "inventory_csv"), S.INVENTORY_COLUMNS)
     sinks.write_reviewer_csv(t["review"], d / "linkage_review.csv", S.REVIEW_COLUMNS)
     rows = t["staged"]
     sinks.write_bulk(rows.select(*S.STAGED.names), str(d / "staging_deid.jsonl"), "json")
-    sinks.write_reviewer_csv(staging.issue_rows(rows), d / "qa_issues.csv", ["report_id", "source_file", "qa_status", "issues"])
+    sinks.write_csv_parts(staging.issue_rows(rows), str(d / "qa_issues_csv"), ["report_id", "source_file", "qa_status", "issues"])
     sample = d / "qa_human_sample.csv"
     if not sample.exists():
         drawn = qa.human_sample(rows.where("qa_status like 'passed%'"), "report_id", cfg.human_qa_fraction, cfg.human_qa_min)
@@ -133,6 +135,7 @@ def run(spark: SparkSession, cfg: Config) -> dict:
 
 def release_dataset(spark: SparkSession, cfg: Config) -> dict:
     """Gate, leak scan and the released files; raises ReleaseBlocked."""
+    ship(spark)
     vault = Vault(cfg.secure_dir, cfg.key_file)
     path = cfg.secure_dir / "staging_deid.jsonl"
     if not path.exists():
@@ -143,11 +146,11 @@ def release_dataset(spark: SparkSession, cfg: Config) -> dict:
     release.require_no_leak(passed)
     out = cfg.research_dir
     out.mkdir(parents=True, exist_ok=True)
-    sinks.write_bulk(passed, str(out / "reports_csv"), "csv")
-    sinks.write_bulk(passed, str(out / "reports_jsonl"), "json")
+    sinks.write_csv_parts(passed.orderBy("file_index"), str(out / "reports_csv"), S.REPORT_COLUMNS)
+    sinks.write_bulk(passed.orderBy("file_index").select(*S.REPORT_COLUMNS), str(out / "reports_jsonl"), "json")
     small = release.small_cells(passed, cfg.k_min)
     for name, df in (("patients", release.patient_rollup(passed)), ("inventory", release.safe_inventory(passed)), ("cohort_summary", release.cohort_summary(passed).orderBy("dimension", "value")), ("small_cells", small)):
-        sinks.write_bulk(df, str(out / name), "csv")
+        sinks.write_csv_parts(df, str(out / f"{name}_csv"), df.columns)
     manifest = {
         "released_at": datetime.now().isoformat(timespec="seconds"), "n_reports": passed.count(), "n_patients": passed.select("research_patient_id").distinct().count(), "n_blocked_by_qa": all_rows.where("qa_status not like 'passed%'").count(),
         "human_sample_size": size, "k_min": cfg.k_min, "n_small_cells": small.count(), "note": "Merge or suppress the groups of small_cells before publishing.",
@@ -158,7 +161,9 @@ def release_dataset(spark: SparkSession, cfg: Config) -> dict:
 
 
 def dicom_headers(spark: SparkSession, cfg: Config, headers: DataFrame) -> dict[str, DataFrame]:
-    """Linked, de-identified and unlinked header rows; saves the image links."""
+    """Linked, de-identified and unlinked header rows; saves the image links, and the manifest and the unlinked files as CSV parts
+    where there are any."""
+    ship(spark)
     vault = Vault(cfg.secure_dir, cfg.key_file)
     identity, shifts = (_load(vault, spark, n) for n in ("identity_map", "date_shifts"))
     linked = Stage(spark, "dicom").write(imaging.nearest_report(headers, identity, key=vault.link_key))
@@ -167,4 +172,8 @@ def dicom_headers(spark: SparkSession, cfg: Config, headers: DataFrame) -> dict[
     old = _load(vault, spark, "image_links")
     vault.save("image_links", old.join(links, "uid", "left_anti").unionByName(links))
     vault.log_access("dicom", files=headers.count())
-    return {"manifest": done, "unlinked": imaging.unlinked(headers, linked)}
+    out = {"manifest": done, "unlinked": imaging.unlinked(headers, linked)}
+    for name, df, columns in (("dicom_manifest_csv", done, ["file", "report_uid", "study_id", "needs_pixel_review"]), ("dicom_unlinked_csv", out["unlinked"], ["file", "reason"])):
+        if not df.isEmpty():
+            sinks.write_csv_parts(df.orderBy("file"), str(cfg.secure_dir / name), columns)
+    return out

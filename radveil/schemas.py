@@ -1,4 +1,4 @@
-"""Explicit schemas; nothing is inferred."""
+"""Explicit schemas; nothing is inferred. The names and order of columns equal those of the files people work with."""
 
 from pyspark.sql import types as T
 
@@ -35,5 +35,6 @@ STAGED = T.StructType(
         T.StructField("report_seq", T.IntegerType()),
         T.StructField("days_since_first_report", T.IntegerType()),
         *_strings("report_date_shifted sex age age_band modality contrast body_region " + " ".join(TEXT_FIELDS) + " qa_status qa_issues"),
+        T.StructField("file_index", T.IntegerType()),
     ]
 )

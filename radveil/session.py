@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -27,13 +28,18 @@ def build_session(app: str = "radveil", master: str | None = None, **conf: str)
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
-    return builder.config(map=base | conf).getOrCreate()
+    spark = builder.config(map=base | conf).getOrCreate()
+    ship(spark)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one if all runs in this process (local mode);
+    on a cluster an error, for there each executor would write its parts to a disk of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="radveil-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -47,6 +53,7 @@ class Stage:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.n = 0

@@ -8,12 +8,12 @@ import tempfile
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed import OLE_FIELDS, OLE_MAGIC
+from ..operators.ranking import numbered
 
 CONVERTER_TIMEOUT = 120  # Fixed value: seconds per attempt
 
@@ -26,17 +26,23 @@ def find_converter(explicit: str | None = None) -> str:
     raise FileNotFoundError("no converter found; give its path")
 
 
+def is_lock(path: str) -> Column:
+    return F.coalesce(F.element_at(F.split(path, "/"), -1).startswith("~$"), F.lit(False))
+
+
+def listed(paths: DataFrame, limit: int | None = None) -> DataFrame:
+    """(path, file_index) of the Word files among distinct paths, lock files left out. Order is by path components; ``limit`` cuts it."""
+    words = paths.select("path").where(F.col("path").rlike(r"(?i)[^/]\.doc$") & ~is_lock("path")).distinct()
+    order = numbered(words, "file_index", F.split("path", "/")).withColumn("file_index", F.col("file_index").cast("int"))
+    return order if limit is None else order.where(F.col("file_index") < limit)
+
+
 def list_source_files(spark: SparkSession, folder: str, limit: int | None = None) -> tuple[DataFrame, int]:
-    """(files with file_index, number of lock files). Order is by path components; ``limit`` cuts that order."""
+    """(files with file_index, number of lock files)."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[dD][oO][cC]").load(folder)
-    raw = raw.withColumn("__name", F.element_at(F.split("path", "/"), -1))
-    locks = raw.where(F.col("__name").startswith("~$")).select("path").count()
-    files = raw.where(~F.col("__name").startswith("~$"))
+    locks = raw.select("path").where(is_lock("path")).count()
     # numbered over paths only; the content doesn't travel through the sort
-    order = files.select("path").withColumn("file_index", (F.row_number().over(W.orderBy(F.split("path", "/"))) - 1).cast("int"))
-    if limit is not None:
-        order = order.where(F.col("file_index") < limit)
-    return files.join(order, "path").drop("__name", "modificationTime"), locks
+    return raw.join(listed(raw, limit), "path").drop("modificationTime"), locks
 
 
 def _convert(converter: str, content: bytes) -> tuple[str, str | None]:

@@ -6,7 +6,10 @@ import csv
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+BOM = "\ufeff"
 
 
 def _text(value) -> str:
@@ -25,6 +28,23 @@ def write_reviewer_csv(df: DataFrame, path: str | Path, columns: list[str]) -> i
     return n
 
 
+def _csv_cell(df: DataFrame, name: str) -> Column:
+    """A column as a CSV cell: null empty, booleans True/False, quoted where it must be."""
+    c = F.col(name)
+    kind = dict(df.dtypes)[name]
+    text = F.initcap(c.cast("string")) if kind == "boolean" else c.cast("string")
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.coalesce(F.when(text.rlike('[",\r\n]'), quoted).otherwise(text), F.lit(""))
+
+
+def write_csv_parts(df: DataFrame, path: str, columns: list[str]) -> None:
+    """A CSV of any size, written by the executors: the parts joined in order of their names are one file with BOM, header and
+    CRLF, and rows in the order of df. Nothing passes the driver."""
+    rows = df.select(F.concat_ws(",", *(_csv_cell(df, c) for c in columns)).alias("value"))
+    head = df.sparkSession.createDataFrame([(BOM + ",".join(columns),)], "value string").coalesce(1)
+    head.unionByName(rows).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+
+
 def write_bulk(df: DataFrame, path: str, fmt: str = "parquet", **options) -> None:
     """Parquet, CSV or JSON lines in parts, by the executors. JSON keeps nulls."""
     base = {"json": {"ignoreNullFields": "false"}, "csv": {"header": "true", "encoding": "UTF-8", "escape": '"'}}.get(fmt, {})

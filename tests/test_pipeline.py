@@ -1,8 +1,17 @@
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
+import pytest
+
+from radveil.operators.ranking import numbered
 from radveil.plans import pipeline
+from radveil.session import shared_folder
 from radveil.sources import files as src
-from radveil.sources.sinks import write_reviewer_csv
+from radveil.sources.sinks import write_csv_parts, write_reviewer_csv
+from radveil.sources.vault import Vault
 from radveil.schemas import OVERRIDES
 from radveil.streaming import incremental
 
@@ -50,3 +59,63 @@ def test_reviewer_csv_round_trip(spark, tmp_path):
     got = src.read_reviewer_csv(spark, str(p), OVERRIDES).first()
     assert (got.report_id, got.decision, got.reviewer) == ("r", 'a "b", c', "zoë")
     assert src.read_reviewer_csv(spark, str(tmp_path / "none.csv"), OVERRIDES).count() == 0
+
+
+def test_csv_parts_are_one_file(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "b", c', True, None), (2, "two\nlines", False, "zoë"), (3, "", None, "x")], "n int, t string, b boolean, z string").repartition(3).orderBy("n")
+    write_csv_parts(df, str(tmp_path / "c"), ["n", "t", "b", "z"])
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "c").glob("part-*")))
+    assert whole.decode() == '﻿n,t,b,z\r\n1,"a ""b"", c",True,\r\n2,"two\nlines",False,zoë\r\n3,,,x\r\n'
+
+
+def test_positions(spark):
+    df = spark.createDataFrame([("a/b/x.doc",), ("a/b.c/x.DOC",), ("a/~$x.doc",), ("a/x.txt",), ("b.doc",), ("a/.doc",), (None,)], "path string")
+    assert [(r.path, r.file_index) for r in src.listed(df.union(df)).orderBy("file_index").collect()] == [("a/b/x.doc", 0), ("a/b.c/x.DOC", 1), ("b.doc", 2)]
+    assert src.listed(df, 1).count() == 1 and src.listed(df.limit(0)).count() == 0
+    rows = spark.range(1000).repartition(7)
+    assert [r.at for r in numbered(rows, "at", "id").orderBy("id").collect()] == [*range(1000)]
+
+
+def test_a_run_needs_nothing_of_the_working_directory(tmp_path):
+    """Executors' workers get the package whatever the folder, also where data doesn't come through session.table()."""
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+from radveil.plans import pipeline
+from pathlib import Path
+raw = Path("raw/1-1-2024"); raw.mkdir(parents=True); (raw / "r.doc").write_text("Name: A B\\nFindings: x\\nImpression: y")
+tool = Path("tool"); tool.write_text('#!/bin/sh\\nfor f; do :; done\\ncat "$f"\\n'); tool.chmod(0o755)
+here = Path(".").resolve()
+print("reports", pipeline.run(spark, pipeline.Config(here / "raw", here / "s", here / "o", here / "k" / "k", str(here / "tool")))["reports"])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "reports 1" in done.stdout, done.stderr[-3000:]
+
+
+def test_no_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session())
+
+
+def test_key_file_and_log(tmp_path):
+    v = Vault(tmp_path / "s", tmp_path / "k" / "key")
+    assert v.created_key and (tmp_path / "k" / "key").stat().st_mode & 0o777 == 0o600
+    again = Vault(tmp_path / "s", tmp_path / "k" / "key")
+    assert not again.created_key and again.link_key.bytes() == v.link_key.bytes()
+    v.log_access("run", reports=3)
+    v.log_access("release", ok=True)
+    lines = [json.loads(x) for x in (tmp_path / "s" / "access_log.jsonl").read_text().splitlines()]
+    assert [x["command"] for x in lines] == ["run", "release"] and lines[0]["reports"] == 3 and {"at", "host", "account"} <= set(lines[0])
+    (tmp_path / "short").write_text("YWJj")
+    with pytest.raises(ValueError):
+        Vault(tmp_path / "s", tmp_path / "short")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from radveil.functions import fixed as X
 from radveil.operators import imaging, qa, release, state
 
 FIELDS = "exam clinical_information technique findings impression advice".split()
@@ -62,10 +63,28 @@ def test_deidentified(spark):
     r = imaging.deidentified_headers(headers(spark, [("f", tags)]), linked, ident, shifts).first()
     assert r.needs_pixel_review and r.study_id == r.tags["StudyInstanceUID"] and r.study_id.startswith("2.25.")
     t = {k: v for k, v in r.tags.items() if k != "StudyInstanceUID"}
-    assert t == {"PatientID": "RP-1", "PatientName": "RP-1", "StudyDate": "20240115", "ContentDate": "bad", "PatientAge": "090Y", "Modality": "US", "KVP": "120", "PatientIdentityRemoved": "YES"}
+    assert t == {"PatientID": "RP-1", "PatientName": "RP-1", "StudyDate": "20240115", "ContentDate": "bad", "PatientAge": "090Y", "Modality": "US", "KVP": "120", "PatientIdentityRemoved": "YES", "DeidentificationMethod": X.DEIDENTIFICATION_METHOD}
 
 
 def test_set_if_absent(spark):
     old = spark.createDataFrame([("p1", 5)], "p string, shift_days int")
     got = {r.p: r.shift_days for r in state.set_if_absent(old, spark.createDataFrame([("p1",), ("p2",), ("p2",), (None,)], "p string"), "p", state.random_shifts(3)).collect()}
     assert got["p1"] == 5 and set(got) == {"p1", "p2"} and got["p2"] in {-3, -2, -1, 1, 2, 3}
+
+
+def test_no_person_stays_in_a_header(spark):
+    gone = ["PhysiciansOfRecord", "RequestingPhysician", "NameOfPhysiciansReadingStudy", "ResponsiblePerson", "OperatorsName", "SomeNewReaderName", "FutureApprover", "InstitutionName", "ReferencedStudySequence[0].ReferringPhysicianName", "RequestAttributesSequence[1].StudyComment", "(0009,1001)", "00291010", "PrivateCreator", "A[0].(0011,10aa)"]
+    kept = ["ManufacturerModelName", "KVP", "SequenceName", "ReferencedStudySequence[0].ReferencedSOPInstanceUID", "(0008,103e)", "StudyDescription"]
+    df = spark.createDataFrame([(k,) for k in gone + kept], "k string")
+    assert {r.k for r in df.where(imaging.is_gone(F.col("k"))).collect()} == set(gone)
+    linked, shifts = spark.createDataFrame([("f", "u1")], "file string, uid string"), spark.createDataFrame([("RP-1", 3)], "research_patient_id string, shift_days int")
+    ident = spark.createDataFrame([("u1", "RP-1")], "uid string, research_patient_id string")
+    r = imaging.deidentified_headers(headers(spark, [("f", None)]), linked, ident, shifts).first()
+    assert r.study_id == "" and set(r.tags) == {"PatientName", "PatientID", "PatientIdentityRemoved", "DeidentificationMethod"}
+
+
+def test_first_sex_is_that_of_the_first_file(spark):
+    rows = [("p", "M", 2, "r2", 1, "30-34", "CT", None), ("p", "F", 1, "r1", 7, "25-29", "MRI", 4), ("p", "U", 3, "r0", None, "30-34", "CT", 9)]
+    df = spark.createDataFrame(rows, "research_patient_id string, sex string, report_seq int, report_id string, file_index int, age_band string, modality string, days_since_first_report int")
+    r = release.patient_rollup(df).first()
+    assert (r.sex, r.first_age_band, r.follow_up_days, r.modalities) == ("M", "25-29", 9, "CT;MRI")
