@@ -18,11 +18,16 @@ class ReleaseBlocked(RuntimeError):
     """The gate or the leak scan forbids the release."""
 
 
-def gate(sample: DataFrame) -> int:
-    """Number of sample rows; raises where there are none or one isn't marked yes (trimmed, any case)."""
+def gate_state(sample: DataFrame) -> DataFrame:
+    """(n_rows, n_yes, is_open): open if there are rows and each is marked yes (trimmed, any case)."""
     ok = F.lower(F.trim(F.coalesce("reviewer_ok", F.lit("")))) == "yes"
-    n, good = sample.agg(F.count("*"), F.coalesce(F.sum(ok.cast("int")), F.lit(0))).first()
-    if not n or good != n:
+    return sample.agg(F.count("*").alias("n_rows"), F.count_if(ok).alias("n_yes")).withColumn("is_open", (F.col("n_rows") > 0) & (F.col("n_rows") == F.col("n_yes")))
+
+
+def gate(sample: DataFrame) -> int:
+    """Number of sample rows; raises where the gate is closed."""
+    n, good, is_open = gate_state(sample).first()
+    if not is_open:
         raise ReleaseBlocked(f"human sample: {n - good} of {n} rows are not marked yes")
     return n
 
@@ -74,6 +79,10 @@ def small_cells(reports: DataFrame, k_min: int = 5) -> DataFrame:
     return cells.where(F.col("n_patients") < k_min).orderBy("sex", "age_band", "modality")
 
 
+def passed(staged: DataFrame) -> DataFrame:
+    return staged.where(F.col("qa_status").isin("passed", "passed_override"))
+
+
 def released_columns(staged: DataFrame) -> DataFrame:
     """The passed rows with the released columns, and file_index, which orders them and isn't released."""
-    return staged.where(F.col("qa_status").isin("passed", "passed_override")).select(*REPORT_COLUMNS, "file_index")
+    return passed(staged).select(*REPORT_COLUMNS, "file_index")

@@ -30,7 +30,8 @@ def staged(recs: DataFrame, identity: DataFrame, shifts: DataFrame, images: Data
     base = recs.withColumns({"stem_tokens": stems, "patient_name": F.col("parsed.header.patient_name")})
     terms = qa.term_sets(base.select("uid", "patient_name", "stem_tokens", "meta"), vocab, "uid", "patient_name", "stem_tokens", "meta")
     ids = identity.select("uid", "research_patient_id", "report_id", "encounter_id")
-    rows = recs.join(ids, "uid").join(shifts, "research_patient_id").join(terms, "uid").join(images, "uid", "left").join(pending.withColumn("pending", F.lit(True)), "uid", "left")
+    rows = recs.join(ids, "uid").join(shifts, "research_patient_id").join(terms, "uid").join(pending.withColumn("pending", F.lit(True)), "uid", "left")
+    rows = with_images(rows, images)
     rows = patient_sequence(rows, "research_patient_id", "report_date", "report_id")
     sources = F.array(*(F.col("parsed.header.examined") if f == "exam" else F.col(f"parsed.sections.{f}") for f in TEXT_FIELDS))
     rows = scrub_fields(rows.withColumn("sources", sources), "sources", "own", "id_no", "shift_days")
@@ -40,8 +41,6 @@ def staged(recs: DataFrame, identity: DataFrame, shifts: DataFrame, images: Data
     checked = checked.join(answers, "report_id", "left")
     out = checked.withColumns(
         {
-            "study_id": F.coalesce("study_id", F.lit("")),
-            "image_available": F.col("study_id").isNotNull(),
             "report_date_shifted": V.shifted(F.col("report_date"), F.col("shift_days")),
             "age_band": V.age_band(F.col("age")),
             "age": V.age_text(F.col("age")),
@@ -55,6 +54,12 @@ def staged(recs: DataFrame, identity: DataFrame, shifts: DataFrame, images: Data
     return stage.write(out.select(*STAGED.names, "uid", F.col("rel").alias("source_file"), "issues", F.coalesce("decision", F.lit("")).alias("decision")))
 
 
+def with_images(rows: DataFrame, images: DataFrame) -> DataFrame:
+    """rows with study_id (empty where there is none) and image_available. images: (uid, study_id), a row per uid."""
+    got = rows.join(images.select("uid", "study_id"), "uid", "left").withColumn("image_available", F.col("study_id").isNotNull())
+    return got.withColumn("study_id", F.coalesce("study_id", F.lit("")))
+
+
 def issue_rows(rows: DataFrame) -> DataFrame:
     """Rows with an issue or any override, for the reviewer; null issues or decisions count as none."""
     return rows.where((F.coalesce(F.size("issues"), F.lit(0)) > 0) | (F.coalesce("decision", F.lit("")) != "")).select("report_id", "source_file", "qa_status", F.col("qa_issues").alias("issues"))

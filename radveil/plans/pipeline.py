@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,26 +79,39 @@ def run_tables(files: DataFrame, cfg: Config, vault: Vault, decisions: DataFrame
     }
 
 
-def run_summary(recs: DataFrame, inv: DataFrame, review: DataFrame, pending: DataFrame, rows: DataFrame) -> dict:
-    """The counters of a run; each is one small aggregate."""
-    counted = lambda df, c: {r[0]: r[1] for r in df.groupBy(c).count().collect()}
-    n, dup = recs.count(), inv.where("status = 'duplicate_file'").count()
-    per = rows.groupBy("research_patient_id").count()
-    passed = rows.where("qa_status like 'passed%'").count()
-    return {
-        "reports": n,
-        "duplicate_files": dup,
-        "patients": per.count(),
-        "patients_with_multiple_reports": per.where("count > 1").count(),
-        "parse_warnings": counted(recs.select(F.explode("warnings").alias("w")), "w"),
-        "stop_reasons": counted(recs.select("parsed.stop_reason"), "stop_reason"),
-        "modality": counted(recs.select("cls.modality"), "modality"),
-        "linkage_review_pairs": counted(review, "reason"),
-        "linkage_review_undecided_records": pending.count(),
-        "qa_passed": passed,
-        "qa_failed": rows.count() - passed,
-        "qa_issue_counts": {r.issue: r.n for r in qa.issue_counts(rows).collect()},
-    }
+COUNTED = ("parse_warnings", "stop_reasons", "modality", "linkage_review_pairs", "qa_issue_counts")
+
+
+def summary_rows(recs: DataFrame, inv: DataFrame, review: DataFrame, pending: DataFrame, rows: DataFrame) -> DataFrame:
+    """(figure, value, n): the counters of a run. value is empty for single figures, else what is counted."""
+    one = lambda df, **figures: df.agg(*(c.alias(k) for k, c in figures.items())).unpivot([], [*figures], "figure", "n").select("figure", F.lit("").alias("value"), "n")
+    each = lambda figure, df, c: df.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).select(F.lit(figure).alias("figure"), "value", "n")
+    per = rows.groupBy("research_patient_id").agg(F.count("*").alias("k"))
+    passed = F.col("qa_status").startswith("passed")
+    parts = [
+        one(recs, reports=F.count("*")),
+        one(inv, duplicate_files=F.count_if(F.col("status") == "duplicate_file")),
+        one(per, patients=F.count("*"), patients_with_multiple_reports=F.count_if(F.col("k") > 1)),
+        each("parse_warnings", recs.select(F.explode("warnings").alias("w")), "w"),
+        each("stop_reasons", recs.select(F.col("parsed.stop_reason").alias("r")), "r"),
+        each("modality", recs.select(F.col("cls.modality").alias("m")), "m"),
+        each("linkage_review_pairs", review, "reason"),
+        one(pending, linkage_review_undecided_records=F.count("*")),
+        one(rows, qa_passed=F.count_if(passed), qa_failed=F.count_if(~passed)),
+        qa.issue_counts(rows).select(F.lit("qa_issue_counts").alias("figure"), F.col("issue").alias("value"), "n"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def run_summary(*tables: DataFrame) -> dict:
+    """summary_rows as a dict; the rows are as few as there are figures, warnings and reasons."""
+    out: dict = {k: {} for k in COUNTED}
+    for figure, value, n in summary_rows(*tables).collect():
+        if figure in COUNTED:
+            out[figure][value] = n
+        else:
+            out[figure] = n
+    return out
 
 
 def run(spark: SparkSession, cfg: Config) -> dict:

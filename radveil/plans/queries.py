@@ -10,10 +10,13 @@ from ..functions import fixed as X
 from ..functions import keys as K
 from ..functions import layout
 from ..functions.scrub import pattern_hits, scrub_fields
-from ..operators import imaging, inventory, linkage, qa, release, state
+from ..operators import imaging, inventory, linkage, qa, release, staging, state
 from ..operators.components import connected_components
 from ..schemas import SECTION_FIELDS, TEXT_FIELDS
 from ..session import table
+from ..sources import files as src
+from . import oracles as O
+from .pipeline import summary_rows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -29,29 +32,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _sql_hmac(domain: str, value: str, n: int) -> str:
-    inner, outer = K.PUBLIC_TEST_KEY.pads()
-    message = f"encode('{domain}' || chr(31) || {value})"
-    return f"substr(sha256(unhex('{outer.hex()}') || unhex(sha256(unhex('{inner.hex()}') || {message}))), 1, {n})"
-
-
-def _titles() -> str:
-    return ", ".join(f"'{t}'" for t in X.TITLES)
-
-
-def _sql_tokens(name: str) -> str:
-    return f"list_filter(regexp_extract_all(lower(coalesce({name}, '')), '[a-z]+'), lambda t: length(t) > 1 and t not in ({_titles()}))"
-
-
-def _sql_masked(name: str) -> str:
-    once = "array_to_string(list_transform(list_filter(range(1, length(t) + 1), lambda i: i = 1 or substr(t, i, 1) <> substr(t, i - 1, 1)), lambda i: substr(t, i, 1)), '')"
-    mask = f"substr({once}, 1, 1) || regexp_replace(substr({once}, 2), '[aeiouyhw]', '', 'g')"
-    return f"coalesce(array_to_string(list_sort(list_transform({_sql_tokens(name)}, lambda t: {mask})), ' '), '')"
-
-
-BIN = "coalesce((birth_year - (birth_year % 5))::varchar || '-' || (birth_year - (birth_year % 5) + 4)::varchar, 'NA')"
-RECS = "(select distinct uid, name_part, n_tokens, name_norm, sex, birth_year, id_hash from linkage_records)"
-
 # --- sources and inventory ---------------------------------------------------------------------
 
 
@@ -71,7 +51,7 @@ def source_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""
-    select file_index, {_sql_hmac("file", "sha256", 20)} as uid,
+    select file_index, {O.hmac("file", "sha256", 20)} as uid,
       case when file_index = min(file_index) over (partition by sha256) then 'first' else 'duplicate_file' end as status
     from (select distinct file_index, sha256 from source_files)"""
 )
@@ -79,79 +59,74 @@ def file_dedup(spark: SparkSession, d: str) -> DataFrame:
     return inventory.file_uids(table(spark, d, "source_files")).select("file_index", "uid", "status")
 
 
-@query()
+@query(O.chain("parsed", "select * from parsed"))
 def parse_reports(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "source_files")
     return files.select("file_index", layout.parsed(F.col("text"), F.col("error")).alias("p")).select("file_index", "p.title", "p.header.*", "p.sections.*", F.array_join("p.warnings", ";").alias("warnings"), "p.stop_reason")
 
 
-@query()
+@query(
+    O.chain(
+        "recs",
+        f"""select u.uid as file_uid, case when not u.first then 'duplicate_file' when list_contains(string_split(r.warnings, ';'), 'extraction_failed') then 'extraction_failed' else 'parsed' end as status, ({O.FOLDER_DAY}) is not null as folder_date_valid, f.size as size_bytes, f.is_ole as ole_doc,
+      r.modality, r.contrast, r.body_region, false as has_image, {O.HAS_AUTHOR} as meta_has_author, len({O.STEM_TOKENS}) > 0 as filename_has_text, r.stop_reason, r.warnings, f.file_index from source_files f join uids u using (file_index) left join recs r using (file_index)""".replace("path, '", "f.path, '").replace("meta[", "f.meta["),
+    )
+)
 def inventory_table(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "source_files")
     return inventory.inventory(files, inventory.records(files))
 
 
-@query()
+@query(O.chain("recs", "select uid, file_index, report_date, age, sex, birth_year, id_no, id_hash, name_norm, name_part, n_tokens, modality, contrast, body_region, warnings from recs"))
 def record_table(spark: SparkSession, d: str) -> DataFrame:
     got = inventory.records(table(spark, d, "source_files"))
     return got.select("uid", "file_index", "report_date", "age", "sex", "birth_year", "id_no", "id_hash", "name_norm", "name_part", "n_tokens", "cls.*", F.array_join("warnings", ";").alias("warnings"))
 
 
+@query(
+    r"""with w as (select distinct path, string_split(path, '/') as parts from source_files where regexp_matches(path, '(?i)[^/]\.doc$') and not starts_with(string_split(path, '/')[-1], '~$'))
+    select path, (row_number() over (order by parts) - 1)::int as file_index from w"""
+)
+def source_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Word files in order of their path components."""
+    return src.listed(table(spark, d, "source_files"))
+
+
+@query(
+    r"""with w as (select distinct path, string_split(path, '/') as parts from source_files where regexp_matches(path, '(?i)[^/]\.doc$') and not starts_with(string_split(path, '/')[-1], '~$'))
+    select path, (row_number() over (order by parts) - 1)::int as file_index from w order by parts limit 100"""
+)
+def source_head(spark: SparkSession, d: str) -> DataFrame:
+    """The head limit of a run: so many files of the sorted list."""
+    return src.listed(table(spark, d, "source_files"), 100)
+
+
 # --- header fields -----------------------------------------------------------------------------
 
 
-@query()
+@query(O.chain("days", "select uid, header_date, day as report_date from parse_report left join days on s = header_date"))
 def header_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "parse_report").select("uid", "header_date", V.parse_date(F.col("header_date")).alias("report_date"))
 
 
-@query(
-    r"""
-    with p as (select uid, age, sex, translate(age, '০১২৩৪৫৬৭৮৯', '0123456789') as t from parse_report),
-    q as (select *, try_cast(nullif(regexp_extract(t, '(\d+(?:\.\d+)?)\s*([A-Za-z]*)', 1), '') as double) as v, lower(regexp_extract(t, '(\d+(?:\.\d+)?)\s*([A-Za-z]*)', 2)) as u from p),
-    r as (select *, case when starts_with(u, 'm') and not starts_with(u, 'mi') then v / 12 when starts_with(u, 'd') then v / 365.25::double when starts_with(u, 'w') then v / 52.18::double else v end as y from q),
-    z as (select *, case when y between 0 and 120 then y end as years from r)
-    select uid, years as age_years,
-      case when years is null then '' when floor(years) >= 90 then '90+' else floor(years)::bigint::varchar end as age_out,
-      case when years is null then '' when floor(years) >= 90 then '90+' else (floor(years)::bigint - floor(years)::bigint % 5)::varchar || '-' || (floor(years)::bigint - floor(years)::bigint % 5 + 4)::varchar end as age_band,
-      case when lower(ltrim(coalesce(sex, ''))) like 'm%' then 'M' when lower(ltrim(coalesce(sex, ''))) like 'f%' then 'F' else 'U' end as sex_out
-    from z"""
-)
+@query(f"select uid, {O.age_years('age')} as age_years, {O.age_out(O.age_years('age'))} as age_out, {O.age_band(O.age_years('age'))} as age_band, {O.sex('sex')} as sex_out from parse_report")
 def age_and_sex(spark: SparkSession, d: str) -> DataFrame:
     years = V.parse_age_years(F.col("age"))
     return table(spark, d, "parse_report").select("uid", years.alias("age_years"), V.age_text(years).alias("age_out"), V.age_band(years).alias("age_band"), V.parse_sex(F.col("sex")).alias("sex_out"))
 
 
-def _sql_regions() -> str:
-    return " || ".join(f"case when regexp_matches(e, '{p}') then '{n};' else '' end" for n, p in X.REGIONS.items())
-
-
-@query(
-    rf"""
-    with p as (select uid, lower(coalesce(examined, '')) as e, lower(coalesce(examined, '')) || ' ' || lower(coalesce(technique, '')) as b, lower(coalesce(title, '')) as t from parse_report)
-    select uid,
-      case when contains(e, 'hrct') then 'HRCT' when regexp_matches(e, '{X.MODALITY_CTA}') then 'CT angiography' when regexp_matches(e, '{X.MODALITY_MRI}') then 'MRI'
-        when regexp_matches(e, '{X.MODALITY_CT}') then 'CT' when regexp_matches(e || ' ' || t, '{X.MODALITY_XRAY}') then 'X-ray' when regexp_matches(t, '\bct\b') then 'CT' else 'other' end as modality,
-      case when regexp_matches(b, '{X.CONTRAST_WITH}') then 'with contrast' when regexp_matches(b, '{X.CONTRAST_WITHOUT}') then 'without contrast' else 'unspecified' end as contrast,
-      coalesce(nullif(rtrim({_sql_regions()}, ';'), ''), 'unspecified') as body_region
-    from p"""
-)
+@query("select uid, " + ", ".join(f"{v} as {k}" for k, v in O.exam_class("examined", "technique", "title").items()) + " from parse_report")
 def exam_classes(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "parse_report")
     return p.select("uid", V.exam_class(F.col("examined"), F.col("technique"), F.col("title")).alias("c")).select("uid", "c.*")
 
 
-@query(
-    r"""
-    select uid, trunc(year(report_date::date) + dayofyear(report_date::date) / 365.25::double - try_cast(nullif(regexp_extract(age_raw, '^\s*(\d+)', 1), '') as double) - 0.5::double)::int as birth_year
-    from identity_map"""
-)
+@query(f"select uid, {O.birth_year('report_date::date', O.age_years('age_raw'))} as birth_year from identity_map")
 def birth_years(spark: SparkSession, d: str) -> DataFrame:
-    age = F.regexp_extract("age_raw", r"^\s*([0-9]+)", 1).try_cast("double")
-    return table(spark, d, "identity_map").select("uid", V.birth_year(F.col("report_date").cast("date"), age).alias("birth_year"))
+    return table(spark, d, "identity_map").select("uid", V.birth_year(F.col("report_date").cast("date"), V.parse_age_years(F.col("age_raw"))).alias("birth_year"))
 
 
-@query(r"""select uid, nullif(regexp_replace(id_no, '[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]+', '', 'g'), '') as id_no from parse_report""")
+@query(f"select uid, {O.id_number('id_no')} as id_no from parse_report")
 def id_numbers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "parse_report").select("uid", K.id_normalised(F.col("id_no")).alias("id_no"))
 
@@ -159,13 +134,18 @@ def id_numbers(spark: SparkSession, d: str) -> DataFrame:
 # --- identity keys -----------------------------------------------------------------------------
 
 
-@query(f"select uid, {_sql_masked('patient_name')} as masked_name, coalesce(array_to_string(list_sort({_sql_tokens('patient_name')}), ' '), '') as name_norm from parse_report")
+@query(f"select uid, {O.masked('patient_name')} as masked_name, {O.name_norm('patient_name')} as name_norm from parse_report")
 def name_keys(spark: SparkSession, d: str) -> DataFrame:
     name = F.col("patient_name")
     return table(spark, d, "parse_report").select("uid", K.masked_name(name).alias("masked_name"), K.name_norm(name).alias("name_norm"))
 
 
-@query()
+@query(
+    """with l as (select uid, regexp_replace(lower(coalesce(patient_name, '')), '[^a-z]', '', 'g') as w from parse_report),
+    c as (select uid, w, translate(left(w, 1) || regexp_replace(substr(w, 2), '[hw]', '', 'g'), 'bfpvcgjkqsxzdtlmnr', '111122222222334556') as x from l),
+    o as (select uid, w, array_to_string(list_transform(list_filter(range(2, length(x) + 1), lambda i: substr(x, i, 1) <> substr(x, i - 1, 1) and substr(x, i, 1) between '1' and '6'), lambda i: substr(x, i, 1)), '') as digits from c)
+    select uid, case when w = '' then 'NA' else left(upper(left(w, 1)) || digits || '000', 4) end as soundex from o"""
+)
 def name_soundex(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "parse_report").select("uid", K.soundex(F.col("patient_name")).alias("soundex"))
 
@@ -173,8 +153,8 @@ def name_soundex(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""
     with l as (select uid, min(sex) as sex, min(birth_year) as birth_year from linkage_records group by uid),
-    p as (select p.uid, {_sql_masked("patient_name")} as m, {BIN} as bin, sex from (select distinct uid, patient_name from parse_report) p join l using (uid))
-    select uid, m as masked_name, upper({_sql_hmac("ksrl:name", "m", 32)} || {_sql_hmac("ksrl:demo", "(sex || bin)", 32)} || {_sql_hmac("ksrl:addr", "'NA'", 32)}) as pik,
+    p as (select p.uid, {O.masked("patient_name")} as m, {O.year_bin("birth_year")} as bin, sex from (select distinct uid, patient_name from parse_report) p join l using (uid))
+    select uid, m as masked_name, upper({O.hmac("ksrl:name", "m", 32)} || {O.hmac("ksrl:demo", "(sex || bin)", 32)} || {O.hmac("ksrl:addr", "'NA'", 32)}) as pik,
       len(list_filter(string_split(m, ' '), lambda t: t <> ''))::int as n_tokens from p"""
 )
 def patient_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -185,38 +165,28 @@ def patient_keys(spark: SparkSession, d: str) -> DataFrame:
 
 # --- linkage -----------------------------------------------------------------------------------
 
-PASS1 = f"""
-    with r as {RECS}, p as (select a.uid as a, b.uid as b, case when a.id_hash = b.id_hash then 'same_id_no' when abs(a.birth_year - b.birth_year) is null then 'same_name_missing_age'
-      when abs(a.birth_year - b.birth_year) <= 1 and a.n_tokens >= 2 then 'same_name_near_age' when abs(a.birth_year - b.birth_year) <= 1 then 'single_token_name'
-      when abs(a.birth_year - b.birth_year) = 2 then 'same_name_birth_year_differs' end as reason
-      from r a join r b on a.name_part = b.name_part and a.sex = b.sex and a.uid < b.uid where a.n_tokens > 0 and b.n_tokens > 0),
-    pass1 as (select a, b, reason, case when reason in ('same_id_no', 'same_name_near_age') then 'merge' else 'review' end as action from p where reason is not null)"""
-CLUSTERS = """
-    , e as (select a, b from pass1 where action = 'merge' union select b, a from pass1 where action = 'merge')"""
-
-
-@query(PASS1 + " select a, b, reason, action from pass1")
+@query(O.chain("clusters", "select a, b, reason, action from pass1"))
 def link_same_name(spark: SparkSession, d: str) -> DataFrame:
     return linkage.same_name_pairs(table(spark, d, "linkage_records"))
 
 
-@query(f"with r as {RECS} select distinct a.uid as a, b.uid as b, 'same_id_no_different_identity' as reason from r a join r b on a.id_hash = b.id_hash and a.uid < b.uid where a.name_part is distinct from b.name_part or a.sex is distinct from b.sex")
+@query(f"with r as {O.RECS} select distinct a.uid as a, b.uid as b, 'same_id_no_different_identity' as reason from r a join r b on a.id_hash = b.id_hash and a.uid < b.uid where a.name_part is distinct from b.name_part or a.sex is distinct from b.sex")
 def link_same_id(spark: SparkSession, d: str) -> DataFrame:
     return linkage.same_id_pairs(table(spark, d, "linkage_records"))
 
 
-@query()
+@query(O.chain("similar", "select * from similar_v"))
 def link_similar_names(spark: SparkSession, d: str) -> DataFrame:
     return linkage.similar_names(table(spark, d, "linkage_records"))
 
 
-@query(PASS1.replace("with r", "with recursive r") + CLUSTERS + ", reach(uid, hop) as (select uid, uid from r union select reach.uid, e.b from reach join e on e.a = reach.hop) select uid, min(hop) as root from reach group by uid")
+@query(O.chain("clusters", "select uid, root from roots"))
 def link_clusters(spark: SparkSession, d: str) -> DataFrame:
     recs = table(spark, d, "linkage_records")
     return linkage.clusters_of(recs, linkage.merge_edges(recs))
 
 
-@query()
+@query(O.chain("review", "select a, b, reason from review"))
 def link_review_pairs(spark: SparkSession, d: str) -> DataFrame:
     return linkage.review_queue(table(spark, d, "linkage_records"))[0]
 
@@ -226,14 +196,17 @@ def link_decisions(spark: SparkSession, d: str) -> DataFrame:
     return linkage.normalised_decisions(table(spark, d, "linkage_review"))
 
 
-@query()
+@query(O.chain("pending", "select uid from pending"))
 def link_pending(spark: SparkSession, d: str) -> DataFrame:
-    recs = table(spark, d, "linkage_records")
-    review, base = linkage.review_queue(recs)
-    return linkage.apply_decisions(recs, review, base, linkage.normalised_decisions(table(spark, d, "linkage_review")))[1]
+    return _pending(spark, d)
 
 
-@query()
+@query(
+    O.chain(
+        "pending",
+        "select pair_key, reason, coalesce(decision, '') as decision, a as record_a, b as record_b, x.patient_name as name_a, y.patient_name as name_b, x.sex as sex_a, y.sex as sex_b, x.age_raw as age_a, y.age_raw as age_b, x.report_date as date_a, y.report_date as date_b, x.id_no as id_no_a, y.id_no as id_no_b, x.source as file_a, y.source as file_b from keyed join (select distinct * from identity_map) x on x.uid = a join (select distinct * from identity_map) y on y.uid = b",
+    )
+)
 def link_review_file(spark: SparkSession, d: str) -> DataFrame:
     review, _ = linkage.review_queue(table(spark, d, "linkage_records"))
     identity = table(spark, d, "identity_map").dropDuplicates(["uid"])
@@ -241,10 +214,12 @@ def link_review_file(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    PASS1.replace("with r", "with recursive r") + CLUSTERS + """, reach(uid, hop) as (select uid, uid from r union select reach.uid, e.b from reach join e on e.a = reach.hop),
-    c as (select uid, min(hop) as root from reach group by uid), old as (select uid, min(research_patient_id) as rid from identity_map group by uid),
-    k as (select root, min(rid) as rid from c left join old using (uid) group by root)
-    select uid, coalesce(rid, 'RP-' || upper(substr(sha256(root), 1, 10))) as research_patient_id from c join k using (root)"""
+    O.chain(
+        "clusters",
+        "select uid, coalesce(rid, 'RP-' || upper(substr(sha256(root), 1, 10))) as research_patient_id from roots join kept using (root)",
+        "old as (select uid, min(research_patient_id) as rid from identity_map group by uid)",
+        "kept as (select root, min(rid) as rid from roots left join old using (uid) group by root)",
+    )
 )
 def research_ids(spark: SparkSession, d: str) -> DataFrame:
     recs = table(spark, d, "linkage_records")
@@ -252,6 +227,45 @@ def research_ids(spark: SparkSession, d: str) -> DataFrame:
     return linkage.assign_research_ids(linkage.clusters_of(recs, linkage.merge_edges(recs)), old, linkage.keyed_ids)[0]
 
 
+@query(
+    O.chain(
+        "clusters",
+        "select distinct old.rid as retired, kept.rid as into from roots join old using (uid) join kept using (root) where old.rid <> kept.rid union select 'RP-0000000000', 'RP-0000000001'",
+        "old as (select distinct uid, research_patient_id as rid from identity_map where research_patient_id is not null)",
+        "kept as (select root, min(rid) as rid from roots join old using (uid) group by root)",
+    )
+)
+def merge_log(spark: SparkSession, d: str) -> DataFrame:
+    """The log with this run's retired ids; an earlier entry stays."""
+    recs, old = table(spark, d, "linkage_records"), table(spark, d, "identity_map").select("uid", "research_patient_id").where("research_patient_id is not null").distinct()
+    earlier = spark.createDataFrame([("RP-0000000000", "RP-0000000001")], "retired string, into string")
+    return state.append_log(earlier, linkage.assign_research_ids(linkage.clusters_of(recs, linkage.merge_edges(recs)), old, linkage.keyed_ids)[1])
+
+
+@query(
+    """with old as (select uid, min(report_id) as report_id from identity_map where right(uid, 1) between '0' and '7' group by uid)
+    select uid, report_id from old union select uid, 'RR-' || upper(substr(sha256(uid), 1, 10)) from linkage_records where uid not in (select uid from old)"""
+)
+def report_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Set if absent: ids of an earlier run (here of part of the records) stay, others get new ones."""
+    old = table(spark, d, "identity_map").where("right(uid, 1) between '0' and '7'").groupBy("uid").agg(F.min("report_id").alias("report_id"))
+    return state.set_if_absent(old, table(spark, d, "linkage_records"), "uid", lambda new: linkage.keyed_ids(new, "RR", "report_id", "uid"))
+
+
+@query(
+    O.chain(
+        "recs",
+        f"""select uid, rel as source, id_no, patient_name, sex, age_raw, strftime(report_date, '%Y-%m-%d') as report_date, upper(name_part || demo_part || {O.hmac("ksrl:addr", "'NA'", 32)}) as pik, masked_name,
+      'RP-' || upper(substr(sha256(uid), 1, 10)) as research_patient_id, 'RR-' || upper(substr(sha256(uid), 1, 10)) as report_id, 'EN-' || upper(substr(sha256(uid), 1, 10)) as encounter_id from recs""",
+    )
+)
+def identity_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The identity map of the parsed files; ids from the uid."""
+    recs = inventory.records(table(spark, d, "source_files"))
+    made = [linkage.keyed_ids(recs.select("uid"), prefix, column, "uid") for prefix, column in (("RP", "research_patient_id"), ("RR", "report_id"), ("EN", "encounter_id"))]
+    return staging.identity_map(recs, *made)
+
+
 @query(
     """with recursive e as (select research_patient_id as p, id_no as n from identity_map where id_no is not null), reach(p, hop) as (select distinct p, p from e union select reach.p, b.p from reach join e a on a.p = reach.hop join e b on b.n = a.n)
     select p as node, min(hop) as root from reach group by p"""
@@ -275,11 +289,7 @@ def patient_sequence(spark: SparkSession, d: str) -> DataFrame:
     return inventory.patient_sequence(rows, "research_patient_id", "day", "report_id").select("uid", "research_patient_id", "report_seq", "days_since_first_report")
 
 
-SHIFT = "(case when h >= 365 then h - 364 else h - 365 end)::int"
-SHIFTS = f"(select p, {SHIFT} as s from (select distinct research_patient_id as p, (('0x' || substr(sha256(research_patient_id), 1, 8))::bigint % 730) as h from identity_map where research_patient_id is not null))"
-
-
-@query(f"select distinct uid, research_patient_id, strftime(report_date::date + s, '%Y-%m-%d') as report_date_shifted from identity_map join {SHIFTS} on p = research_patient_id")
+@query(f"select distinct uid, research_patient_id, strftime(report_date::date + s, '%Y-%m-%d') as report_date_shifted from identity_map join {O.SHIFTS} on p = research_patient_id")
 def shifted_dates(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "identity_map").select("uid", "research_patient_id", "report_date").distinct()
     none = spark.createDataFrame([], "research_patient_id string, shift_days int")
@@ -289,42 +299,44 @@ def shifted_dates(spark: SparkSession, d: str) -> DataFrame:
 
 # --- vocabulary and terms ----------------------------------------------------------------------
 
-BODY = "concat_ws(chr(10), " + ", ".join(f"nullif({f}, '')" for f in SECTION_FIELDS) + ")"
-BODIES = f"(select distinct uid, {BODY} as body from parse_report)"
-VOCAB = f"(select word, count(*) as n_docs from (select unnest(list_distinct(regexp_extract_all(lower(body), '[a-z]{{2,}}'))) as word from {BODIES}) group by word having count(*) >= 3)"
-
-
 def _bodies(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "parse_report").select("uid", F.concat_ws("\n", *(F.nullif(F.col(f), F.lit("")) for f in SECTION_FIELDS)).alias("body")).distinct()
 
 
-@query(f"select word, n_docs from {VOCAB}")
+@query(O.chain("terms", "select word, n_docs from vocab"))
 def clinical_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return qa.vocabulary(_bodies(spark, d), "body")
 
 
-STEM = r"regexp_replace(regexp_extract(path, '([^/]*)/*$', 1), '(.)\.[^.]+$', '\1')"
+@query(O.chain("terms", "select word from others"))
+def other_name_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _others(spark, d)
 
 
-@query(
-    f"""select distinct word from (select unnest(regexp_extract_all(lower(coalesce(patient_name, '')), '[a-z]{{2,}}')) as word from parse_report
-      union all select unnest(list_transform(regexp_extract_all(coalesce({STEM}, ''), '[A-Za-z]{{2,}}'), lambda t: lower(t))) from source_files)
-    where length(word) >= 4 and word not in ({_titles()}, {", ".join(f"'{w}'" for w in X.STOP_WORDS)}) and word not in (select word from {VOCAB})"""
-)
-def other_name_tokens(spark: SparkSession, d: str) -> DataFrame:
+def _others(spark: SparkSession, d: str) -> DataFrame:
     stems = table(spark, d, "source_files").select(F.array_join(V.filename_tokens(F.col("path")), " ").alias("name"))
     names = table(spark, d, "parse_report").select(F.col("patient_name").alias("name")).unionByName(stems)
     return qa.other_names(names, "name", qa.vocabulary(_bodies(spark, d), "body"))
 
 
+def _parsed_once(spark: SparkSession, d: str) -> DataFrame:
+    """A row per uid: that of its first file."""
+    p = table(spark, d, "parse_report")
+    return p.groupBy("uid").agg(F.min_by(F.struct(*p.columns), "file_index").alias("p")).select("p.*")
+
+
+def _ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "identity_map").groupBy("uid").agg(F.min(F.struct("report_id", "id_no", "research_patient_id", "patient_name")).alias("i")).select("uid", "i.*")
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "source_files").dropDuplicates(["file_index"]).select("file_index", "path", "meta")
-    rows = table(spark, d, "parse_report").select("uid", "file_index", "patient_name").dropDuplicates(["uid"]).join(files, "file_index")
+    files = table(spark, d, "source_files").select("file_index", "path", "meta")
+    rows = _parsed_once(spark, d).select("uid", "file_index", "patient_name").join(files, "file_index")
     rows = rows.withColumn("stem_tokens", V.filename_tokens(F.col("path")))
     return qa.term_sets(rows, qa.vocabulary(_bodies(spark, d), "body"), "uid", "patient_name", "stem_tokens", "meta")
 
 
-@query()
+@query(O.chain("terms", "select uid, array_to_string(own, ' ') as own, array_to_string(staff, ' ') as staff from terms"))
 def term_sets(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d).select("uid", F.array_join("own", " ").alias("own"), F.array_join("staff", " ").alias("staff"))
 
@@ -332,56 +344,108 @@ def term_sets(spark: SparkSession, d: str) -> DataFrame:
 # --- scrubbing and checks ----------------------------------------------------------------------
 
 
-@query(r"""select doc_id, regexp_replace(text, '[\p{L}\p{M}\p{N}_.+-]+@[\p{L}\p{M}\p{N}_-]+\.[\p{L}\p{M}\p{N}_.]+', '[EMAIL]', 'g') as text from documents""")
-def scrub_email(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", X.java(X.EMAIL), "[EMAIL]").alias("text"))
-
-
-@query(r"""select distinct report_id, regexp_replace(findings, '\b\d{6,}\b', '[NUMBER]', 'g') as findings from reports""")
-def scrub_long_number(spark: SparkSession, d: str) -> DataFrame:
-    """ASCII digits, as the SQL has them; scrub_reports uses all digits."""
-    return table(spark, d, "reports").select("report_id", F.regexp_replace("findings", r"\b[0-9]{6,}\b", "[NUMBER]").alias("findings")).distinct()
-
-
 def _staged(spark: SparkSession, d: str) -> DataFrame:
-    ids = table(spark, d, "identity_map").dropDuplicates(["uid"]).select("uid", "id_no", "research_patient_id", "report_id")
+    ids = _ids(spark, d).drop("patient_name")
     shifts = state.keyed_shifts(365, "research_patient_id")(ids.select("research_patient_id").distinct())
-    rows = table(spark, d, "parse_report").drop("id_no").dropDuplicates(["uid"]).join(ids, "uid").join(shifts, "research_patient_id").join(_terms(spark, d), "uid")
+    rows = _parsed_once(spark, d).drop("id_no").join(ids, "uid").join(shifts, "research_patient_id").join(_terms(spark, d), "uid")
     rows = rows.withColumn("sources", F.array(*(F.col("examined" if f == "exam" else f) for f in TEXT_FIELDS)))
     rows = scrub_fields(rows, "sources", "own", "id_no", "shift_days")
     return rows.withColumns({f: F.get("scrubbed", k) for k, f in enumerate(TEXT_FIELDS)})
 
 
-@query()
+@query(O.chain("scrub", f"select uid, {', '.join(TEXT_FIELDS)}, counts from scrubbed"))
 def scrub_reports(spark: SparkSession, d: str) -> DataFrame:
     return _staged(spark, d).select("uid", *TEXT_FIELDS, F.to_json("scrub_counts").alias("counts"))
 
 
+@query(O.chain("scrub_r", f"select uid as report_id, {', '.join(TEXT_FIELDS)}, counts from scrubbed"))
+def scrub_released(spark: SparkSession, d: str) -> DataFrame:
+    """What the earlier scrub missed in released texts: all steps, with the patient's own names and number."""
+    ids = _ids(spark, d).select("report_id", "id_no", K.significant_tokens(F.col("patient_name")).alias("own"))
+    rows = table(spark, d, "reports").distinct().join(ids, "report_id")
+    rows = rows.join(state.keyed_shifts(365, "research_patient_id")(rows.select("research_patient_id").distinct()), "research_patient_id")
+    rows = scrub_fields(rows.withColumn("sources", F.array(*TEXT_FIELDS)), "sources", "own", "id_no", "shift_days")
+    return rows.select("report_id", *(F.get("scrubbed", k).alias(f) for k, f in enumerate(TEXT_FIELDS)), F.to_json("scrub_counts").alias("counts"))
+
+
+@query(O.chain("scrub_d", "select uid as doc_id, text, counts from scrubbed"))
+def scrub_documents(spark: SparkSession, d: str) -> DataFrame:
+    """All steps over texts of four languages; terms and number are made up from other columns."""
+    rows = table(spark, d, "documents").withColumns({"sources": F.array("text"), "own": F.array(F.lit("report"), F.lit("seen"), F.coalesce(F.lower("modality"), F.lit(""))), "days": (F.col("doc_id") % 700 - 350).cast("int")})
+    return scrub_fields(rows, "sources", "own", "facility_id", "days").select("doc_id", F.get("scrubbed", 0).alias("text"), F.to_json("scrub_counts").alias("counts"))
+
+
+def _pending(spark: SparkSession, d: str) -> DataFrame:
+    recs = table(spark, d, "linkage_records")
+    review, base = linkage.review_queue(recs)
+    return linkage.apply_decisions(recs, review, base, linkage.normalised_decisions(table(spark, d, "linkage_review")))[1]
+
+
+def _overrides(spark: SparkSession, d: str) -> DataFrame:
+    """A reviewer's answers, made up from the last sign of the report's id, for the tables hold none."""
+    last = F.right("report_id", F.lit(1))
+    return _ids(spark, d).select("report_id", F.when(last == O.PASS_LAST, " Pass ").when(last == O.FAIL_LAST, "FAIL").when(last == O.OTHER_LAST, "later").otherwise("").alias("decision"))
+
+
 def _checked(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "parse_report").select(F.col("patient_name").alias("name"))
-    others = qa.other_names(names, "name", qa.vocabulary(_bodies(spark, d), "body"))
-    return qa.record_issues(_staged(spark, d).withColumn("pending", F.lit(False)), others)
+    rows = _staged(spark, d).join(_pending(spark, d).withColumn("pending", F.lit(True)), "uid", "left")
+    rows = qa.record_issues(rows, _others(spark, d)).join(_overrides(spark, d).withColumn("decision", F.lower(F.trim("decision"))), "report_id", "left")
+    return rows.withColumn("qa_status", qa.status(F.col("decision"), F.col("issues")))
 
 
-@query()
+@query(O.chain("qa", "select uid, report_id, qa_status, array_to_string(issues, ';') as issues from checked"))
 def qa_issues(spark: SparkSession, d: str) -> DataFrame:
-    return _checked(spark, d).select("uid", "report_id", qa.status(F.lit(None).cast("string"), F.col("issues")).alias("qa_status"), F.array_join("issues", ";").alias("issues"))
+    return _checked(spark, d).select("uid", "report_id", "qa_status", F.array_join("issues", ";").alias("issues"))
 
 
-@query()
+@query(O.chain("qa", "select issue, count(*) as n from (select split_part(unnest(issues), ':', 1) as issue from checked) group by issue"))
 def qa_issue_counts(spark: SparkSession, d: str) -> DataFrame:
     return qa.issue_counts(_checked(spark, d))
 
 
-R_BODY = "concat_ws(chr(10), " + ", ".join(f"coalesce({f}, '')" for f in TEXT_FIELDS) + ")"
-W_, D_ = r"[\p{L}\p{M}\p{N}_]", r"\p{Nd}"
-B0, B1 = rf"(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])", rf"(?:$|[^\p{{L}}\p{{M}}\p{{N}}_])"
-HITS = f"""list_filter([
-      case when regexp_matches(body, '{B0}01[3-9]{D_}{{2}}[\\s-]?{D_}{{6}}{B1}') then 'phone' end,
-      case when regexp_matches(body, '[\\p{{L}}\\p{{M}}\\p{{N}}_.+-]+@[\\p{{L}}\\p{{M}}\\p{{N}}_-]+\\.[\\p{{L}}\\p{{M}}\\p{{N}}_.]+') then 'email' end,
-      case when regexp_matches(body, '(?i){B0}(?:dr|prof|professor)(?:\\.|{B1})[\\s]*[A-Z]') or regexp_matches(body, '(?i){B0}(?:dr|prof|professor)\\.?\\s+[A-Z]') then 'clinician' end,
-      case when regexp_matches(body, '(?i){B0}(?:MBBS|FCPS|MCPS|DMRD|MRCR|RDMS|M\\.?\\s?Phil){B1}') then 'credential' end,
-      case when regexp_matches(body, '{B0}{D_}{{6,}}{B1}') then 'long_number' end], lambda x: x is not null)"""
+@query(O.chain("qa", "select report_id, source as source_file, qa_status, array_to_string(issues, ';') as issues from checked join (select distinct report_id, source from identity_map) using (report_id) where len(issues) > 0 or decision <> ''"))
+def qa_issue_rows(spark: SparkSession, d: str) -> DataFrame:
+    source = table(spark, d, "identity_map").select("report_id", F.col("source").alias("source_file")).distinct()
+    return staging.issue_rows(_checked(spark, d).withColumn("qa_issues", F.array_join("issues", ";")).join(source, "report_id"))
+
+
+@query(O.chain("qa", f"select report_id, qa_status, {', '.join(TEXT_FIELDS)} from checked where qa_status <> 'failed'"))
+def released_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What passes the gate, by check or by override."""
+    return release.passed(_checked(spark, d)).select("report_id", "qa_status", *TEXT_FIELDS)
+
+
+def _run_figures() -> str:
+    n = lambda key, value: f"select '{key}' as figure, '' as value, ({value}) as n"
+    per = lambda key, value, source: f"select '{key}' as figure, {value} as value, count(*) as n from {source} group by 2"
+    return " union all ".join(
+        [
+            n("reports", "select count(*) from recs"),
+            n("duplicate_files", "select count(*) from uids where not first"),
+            n("patients", "select count(distinct research_patient_id) from checked_ids"),
+            n("patients_with_multiple_reports", "select count(*) from (select 1 from checked_ids group by research_patient_id having count(*) > 1)"),
+            per("parse_warnings", "w", "(select unnest(string_split(warnings, ';')) as w from recs) where w <> ''").replace("group by 2", "group by w"),
+            per("stop_reasons", "stop_reason", "recs"),
+            per("modality", "modality", "recs"),
+            per("linkage_review_pairs", "reason", "review"),
+            n("linkage_review_undecided_records", "select count(*) from pending"),
+            n("qa_passed", "select count(*) from checked where qa_status <> 'failed'"),
+            n("qa_failed", "select count(*) from checked where qa_status = 'failed'"),
+            "select 'qa_issue_counts' as figure, issue as value, count(*) as n from (select split_part(unnest(issues), ':', 1) as issue from checked) group by issue",
+        ]
+    )
+
+
+@query(O.chain("recs qa", _run_figures(), "checked_ids as (select uid, research_patient_id from checked join ids using (uid))"))
+def run_figures(spark: SparkSession, d: str) -> DataFrame:
+    """The counters of a run's summary, one row each."""
+    files, links = table(spark, d, "source_files"), table(spark, d, "linkage_records")
+    recs = inventory.records(files)
+    return summary_rows(recs, inventory.inventory(files, recs), linkage.review_queue(links)[0], _pending(spark, d), _checked(spark, d))
+
+
+R_BODY = " || chr(10) || ".join(f"coalesce({f}, '')" for f in TEXT_FIELDS)
+HITS = O.pattern_hits("body")
 
 
 @query(f"select distinct report_id, array_to_string({HITS}, ';') as hits from (select report_id, {R_BODY} as body from reports)")
@@ -415,13 +479,27 @@ def _reports(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "reports").distinct()
 
 
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """Released rows with the place of their file, which is the staged order."""
+    files = table(spark, d, "parse_report").groupBy("uid").agg(F.min("file_index").alias("file_index"))
+    return _reports(spark, d).join(_ids(spark, d).select("report_id", "uid"), "report_id", "left").join(files, "uid", "left").drop("uid")
+
+
 @query(
-    f"""select research_patient_id, arg_min(sex, (report_seq, report_id)) as sex, count(*) as n_reports, arg_min(age_band, (report_seq, report_id)) as first_age_band,
-      max(coalesce(days_since_first_report, 0)) as follow_up_days, array_to_string(list_sort(list_distinct(list(modality))), ';') as modalities
-    from {REPORTS} group by research_patient_id"""
+    f"""with f as (select r.*, p.file_index from {REPORTS} r left join (select report_id, min(uid) as uid from identity_map group by report_id) using (report_id) left join (select uid, min(file_index) as file_index from parse_report group by uid) p using (uid)),
+    k as (select *, row_number() over (partition by research_patient_id order by file_index nulls last, report_id) as place, row_number() over (partition by research_patient_id order by report_seq, report_id) as visit from f)
+    select research_patient_id, max(sex) filter (place = 1) as sex, count(*) as n_reports, max(age_band) filter (visit = 1) as first_age_band,
+      max(coalesce(days_since_first_report, 0)) as follow_up_days, string_agg(distinct modality, ';' order by modality) as modalities
+    from k group by research_patient_id"""
 )
 def patient_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return release.patient_rollup(_reports(spark, d))
+    return release.patient_rollup(_placed(spark, d))
+
+
+@query("select count(*) as n_rows, count(*) filter (a = 'yes') as n_yes, count(*) > 0 and count(*) = count(*) filter (a = 'yes') as is_open from (select lower(trim(coalesce(decision, ''))) as a from linkage_review)")
+def release_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The gate over a review's typed answers: closed unless each is yes."""
+    return release.gate_state(table(spark, d, "linkage_review").select(F.col("decision").alias("reviewer_ok")))
 
 
 @query(f"select report_id, modality, contrast, body_region, image_available from {REPORTS}")
@@ -450,20 +528,12 @@ def release_counts(spark: SparkSession, d: str) -> DataFrame:
 
 # --- imaging -----------------------------------------------------------------------------------
 
-DAY = "case when regexp_full_match(tags['StudyDate'], '[0-9]{8}') then try_strptime(tags['StudyDate'], '%Y%m%d')::date end"
-NO = r"nullif(regexp_replace({}, '[\s\v\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+', '', 'g'), '')"
-NEAREST = f"""
-    s as (select distinct file, no, day from (select file, unnest([{NO.format("tags['PatientID']")}, {NO.format("tags['AccessionNumber']")}]) as no, {DAY} as day from dicom_headers) where no is not null and day is not null),
-    i as (select distinct uid, {NO.format("id_no")} as no, report_date::date as day from identity_map where report_date is not null),
-    linked as (select file, uid, distance from (select file, uid, abs(s.day - i.day)::int as distance, row_number() over (partition by file order by abs(s.day - i.day), uid) as k from s join i using (no) where abs(s.day - i.day) <= 3) where k = 1)"""
-
-
-@query("with" + NEAREST + " select file, uid, distance from linked")
+@query(O.chain("imaging", "select file, uid, distance from linked"))
 def dicom_nearest_report(spark: SparkSession, d: str) -> DataFrame:
     return imaging.nearest_report(table(spark, d, "dicom_headers"), table(spark, d, "identity_map"))
 
 
-@query("with" + NEAREST + " select distinct file, 'no report with matching ID NO within 3 days' as reason from dicom_headers where file not in (select file from linked)")
+@query(O.chain("imaging", "select distinct file, 'no report with matching ID NO within 3 days' as reason from dicom_headers where file not in (select file from linked)"))
 def dicom_unlinked(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "dicom_headers")
     return imaging.unlinked(h, imaging.nearest_report(h, table(spark, d, "identity_map")))
@@ -483,12 +553,19 @@ def _deidentified(spark: SparkSession, d: str) -> DataFrame:
     return imaging.deidentified_headers(h, imaging.nearest_report(h, i), i, shifts)
 
 
-@query()
+@query(O.chain("imaging", "select file, report_uid, study_id, needs_pixel_review, tags from dicom"))
 def dicom_deidentified(spark: SparkSession, d: str) -> DataFrame:
-    got = _deidentified(spark, d)
-    return got.select("file", "report_uid", "study_id", "needs_pixel_review", F.to_json("tags").alias("tags"))
+    """Tags as sorted lines."""
+    lines = F.array_join(F.array_sort(F.transform(F.map_entries(F.map_filter("tags", lambda k, v: v.isNotNull())), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "\n")
+    return _deidentified(spark, d).select("file", "report_uid", "study_id", "needs_pixel_review", lines.alias("tags"))
 
 
-@query()
+@query(O.chain("imaging", "select report_uid as uid, arg_max(study_id, file) as study_id from dicom group by report_uid"))
 def dicom_image_links(spark: SparkSession, d: str) -> DataFrame:
     return imaging.image_links(_deidentified(spark, d))
+
+
+@query(O.chain("imaging", "select i.uid, coalesce(study_id, '') as study_id, study_id is not null as image_available from (select distinct uid from identity_map) i left join (select report_uid as uid, arg_max(study_id, file) as study_id from dicom group by report_uid) using (uid)"))
+def image_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The study of each record, as the staged table has it."""
+    return staging.with_images(table(spark, d, "identity_map").select("uid").distinct(), imaging.image_links(_deidentified(spark, d)))
