@@ -68,6 +68,8 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if max(self.ranks.values()) >= 1 << 20:
+            raise ValueError("a pair's key holds ids below 2**20")
         pairs, merged = [], []
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):

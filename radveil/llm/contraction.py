@@ -14,7 +14,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import lookup
+from ..operators.skew import hot_of, lookup
 from ..session import Stage
 
 MAX_ROUNDS = 100
@@ -36,10 +36,12 @@ def groups(links: DataFrame, a: str = "a", b: str = "b", seed: int = 7) -> DataF
         key = rng.getrandbits(62)
         order = lambda c, key=key: F.struct(F.xxhash64(F.lit(key), c).alias("h"), F.col(c).alias("w"))
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hooks = both.groupBy("u").agg(F.min(order("v")).alias("m"))
-        hook = stage.write(hooks.select("u", F.least(F.col("m"), order("u"))["w"].alias("to")))
-        one = lookup(edges, hook, ["u"]).select(F.col("to").alias("x"), F.col("v").alias("u"))
-        two = lookup(one, hook, ["u"]).select("x", F.col("to").alias("y")).where("x <> y")
+        hooks = both.groupBy("u").agg(F.min(order("v")).alias("m"), F.count("*").alias("n"))
+        counted = stage.write(hooks.select("u", F.least(F.col("m"), order("u"))["w"].alias("to"), "n"))
+        # the links of each vertex were counted with its hook, so both look-ups know the hot ones
+        hook, hot = counted.drop("n"), hot_of(counted, ["u"], "n")
+        one = lookup(edges, hook, ["u"], hot=hot).select(F.col("to").alias("x"), F.col("v").alias("u"))
+        two = lookup(one, hook, ["u"], hot=hot).select("x", F.col("to").alias("y")).where("x <> y")
         rest = stage.write(two.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
         maps.append(hook)
         stage.drop(previous)

@@ -4,8 +4,10 @@ A passage counts from WINDOW successive words on. So the sets whose containment
 shingles of windows of that length: an item's sketch holds, for each of its windows, the minimum of the hashes
 of the window's shingles, and a document's likewise. A shared window gives a shared minimum for certain, so
 no leak is lost; neighbouring windows mostly share their minimum, so sketches are a fraction of the text.
-Items are partitioned by size: an item of n windows is a candidate from the share 1 / n of its sketch on, the
-partition with the largest items asks for the smallest containment. Candidates are verified on the words.
+Items are partitioned by size. A passage of ten words holds six shingles of five, so an item of n shingles has at least the
+share 6 / n of them in a document it leaks into; the threshold of containment of a partition is the least such share
+of its items, and the partition with the largest items asks for the smallest. Items that share a minimum and reach the
+threshold are verified on the words.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import types as T
 
 WINDOW = 10  # successive words of a leak
 SHINGLE = 5  # words of a shingle
-ITEMS_PER_PASS = 20_000  # bounds what a pass broadcasts; more items take more passes over the documents
+ITEMS_PER_PASS = 20_000  # bound what a pass broadcasts; more items take more passes over the documents
+CHARS_PER_PASS = 32_000_000
 WORDS = re.compile("[a-z0-9]+")
 
 
@@ -75,23 +78,32 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[str, str]], window: int, shingle: int):
         hasher, self.window, self.shingle = Hasher(), window, shingle
-        self.exact: dict[str, set[tuple[str, ...]]] = {}
-        parts: dict[int, tuple[list, list]] = {}
+        self.exact: list[tuple[str, set[tuple[str, ...]], np.ndarray]] = []
+        parts: dict[int, tuple[list, list, list]] = {}
         for ident, text in items:
             ws = words(text)
             if len(ws) < window:
                 continue  # it can't leak as a passage of that length
-            self.exact[ident] = self.exact.get(ident, set()) | self.windows(ws)
-            sketch = np.unique(window_minima(hasher(ws), window, shingle))
-            keys, owners = parts.setdefault((len(ws) - window + 1).bit_length(), ([], []))
+            h = hasher(ws)
+            sketch, in_order = np.unique(window_minima(h, window, shingle)), shingle_hashes(h, shingle)
+            shingles = np.unique(in_order)
+            # a window that repeats shingles holds fewer than window - shingle + 1 different ones
+            fewest = min(len(np.unique(in_order[k : k + window - shingle + 1])) for k in range(len(ws) - window + 1))
+            keys, owners, shares = parts.setdefault(self.size_class(len(shingles)), ([], [], []))
             keys.append(sketch)
-            owners += [ident] * len(sketch)
+            owners += [len(self.exact)] * len(sketch)
+            shares.append(fewest / len(shingles))
+            self.exact.append((ident, self.windows(ws), shingles))
         self.parts = []
-        for size, (keys, owners) in sorted(parts.items()):
+        for _, (keys, owners, shares) in sorted(parts.items()):
             flat = np.concatenate(keys)
             order = np.argsort(flat, kind="stable")
-            # least number of shared minima: the share 1 / n of n windows
-            self.parts.append((size, 1, flat[order], np.array(owners, object)[order]))
+            self.parts.append((min(shares), flat[order], np.array(owners)[order]))
+
+    @staticmethod
+    def size_class(n: int) -> int:
+        """Two classes for each doubling of the size."""
+        return int(2 * np.log2(n))
 
     def windows(self, ws: list[str]) -> set[tuple[str, ...]]:
         return {tuple(ws[k : k + self.window]) for k in range(len(ws) - self.window + 1)}
@@ -100,18 +112,29 @@ class ItemIndex:
         ws = words(text)
         if len(ws) < self.window:
             return []
-        sketch, hits = np.unique(window_minima(hasher(ws), self.window, self.shingle)), set()
-        for _, least, keys, owners in self.parts:
-            lo, hi = np.searchsorted(keys, sketch, "left"), np.searchsorted(keys, sketch, "right")
-            count: dict[str, int] = {}
-            for a, b in zip(lo[hi > lo], hi[hi > lo]):
-                for o in owners[a:b]:
-                    count[o] = count.get(o, 0) + 1
-            hits |= {o for o, n in count.items() if n >= least}
+        h = hasher(ws)
+        hits = self.candidates(np.unique(window_minima(h, self.window, self.shingle)), h)
         if not hits:
             return []
         mine = self.windows(ws)
-        return sorted(i for i in hits if not mine.isdisjoint(self.exact[i]))
+        return sorted({self.exact[o][0] for o in hits if not mine.isdisjoint(self.exact[o][1])})
+
+    def candidates(self, sketch: np.ndarray, h: np.ndarray) -> list[int]:
+        """The items with a minimum of the sketch whose containment in the words h reaches their partition's threshold."""
+        hits, mine = [], None
+        for least, keys, owners in self.parts:
+            lo, hi = np.searchsorted(keys, sketch, "left"), np.searchsorted(keys, sketch, "right")
+            met = hi > lo
+            if not met.any():
+                continue
+            mine = np.unique(shingle_hashes(h, self.shingle)) if mine is None else mine
+            for o in np.unique(np.concatenate([owners[a:b] for a, b in zip(lo[met], hi[met])])).tolist():
+                shingles = self.exact[o][2]
+                at = np.searchsorted(mine, shingles)
+                shared = np.count_nonzero(mine[np.minimum(at, len(mine) - 1)] == shingles)
+                if shared >= least * len(shingles) - 1e-9:
+                    hits.append(o)
+        return hits
 
 
 def _searcher(index):
@@ -131,11 +154,12 @@ def found(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int
 
     Null, empty and blank texts and items shorter than a window give nothing; repeated rows count once; an item_id with
     several texts leaks by any of them. Whole texts are searched. The items are a fixed query set: they are broadcast in
-    blocks of bounded size, the documents are read once a block and never shuffled.
+    blocks of bounded number and length, the documents are read once a block and never shuffled.
     """
     spark = docs.sparkSession
     wanted = items.select(F.col("item_id").cast("string").alias("item_id"), "item_text").where("item_id is not null and item_text is not null").distinct()
-    blocks = max(1, -(-wanted.count() // items_per_pass))
+    n, chars = wanted.agg(F.count("*"), F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()
+    blocks = max(1, -(-n // items_per_pass), -(-chars // CHARS_PER_PASS))
     out = None
     for b in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()

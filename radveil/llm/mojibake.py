@@ -1,10 +1,11 @@
 """Text decoded with the wrong character encoding: detection and repair.
 
-Every word with a character beyond ASCII is the start of a best-first search. Edges are decoding
+Every word with a character beyond ASCII or an escape is the start of a best-first search. Edges are decoding
 repairs (map the characters back to the bytes of a wrong encoding and read these as UTF-8, or as
 another single-byte encoding) and unescaping. States are hashed, so none is visited twice; the queue is
-ordered by a plausibility cost of the characters, and the cheapest text reached is the repair. No row
-leaves its partition: there is no shuffle.
+ordered by a plausibility cost of the characters, and the cheapest text reached is the repair, if no other text is as
+cheap: with two or more the word is named as damaged but stays. The search ends when the queue is empty: a
+step shortens the word, or leaves nothing for a second step of its kind. No row leaves its partition: there is no shuffle.
 """
 
 from __future__ import annotations
@@ -20,12 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Encodings under which UTF-8 bytes are read by mistake; undefined bytes pass as C1 controls.
+#: Encodings under which UTF-8 bytes are read by mistake, the usual ones first; undefined bytes pass as C1 controls.
 WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "cp437", "cp850", "cp866", "mac_roman")
 #: Single-byte encodings read as one another: (wrong, right).
 SWAPS = (("cp1251", "cp1252"), ("cp1253", "cp1252"), ("cp1250", "cp1252"), ("cp1252", "cp1250"), ("cp1252", "cp1251"), ("cp866", "cp1251"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("koi8_r", "cp1251"))
-MAX_STEPS = 80  # states expanded for a word; the cost falls with each repair, so few are needed
-WORD = re.compile(r"[^ \t\r\n|]*[^\x00-\x7f ][^ \t\r\n|]*")
+WORD = re.compile(r"[^ \t\r\n|]+")
 RUN = re.compile(r"[^\x00-\x7f]+")
 ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});|\\u[0-9a-fA-F]{4}")
 UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
@@ -97,7 +97,8 @@ def penalty(word: str, scripts: frozenset[str]) -> float:
 
 
 def cost(word: str, scripts: frozenset[str]) -> float:
-    return penalty(word, scripts) + sum(ord(c) > 127 for c in word)
+    """An escape of a character beyond ASCII costs more than the character."""
+    return penalty(word, scripts) + sum(ord(c) > 127 for c in word) + 2 * sum(_unescaped(m[0]) != m[0] for m in ENTITY.finditer(word))
 
 
 def _utf8_under(word: str, wrong: str) -> str:
@@ -125,45 +126,62 @@ def _swapped(word: str, wrong: str, right: str) -> str | None:
 
 
 def _unescaped(word: str) -> str:
-    return re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), html.unescape(word))
+    """The word with its escapes of characters beyond ASCII undone; &amp; and the like are no damage."""
+
+    def plain(m: re.Match) -> str:
+        ch = chr(int(m[0][2:], 16)) if m[0][0] == "\\" else html.unescape(m[0])
+        return m[0] if ch.isascii() else ch
+
+    return ENTITY.sub(plain, word)
+
+
+PRIOR = 0.001  # per place in WRONG: of texts that are equally plausible the one by the more usual mistake is cheaper
+
+
+def _readings(word: str, scripts: frozenset[str]) -> list[str]:
+    """Other readings of an implausible word's bytes. That proves nothing by itself: they must leave nothing implausible."""
+    if penalty(word, scripts) < 3:
+        return []
+    every = (_swapped(word, wrong, right) for wrong, right in SWAPS)
+    return [nxt for nxt in every if nxt and nxt != word and penalty(nxt, scripts) == 0]
 
 
 def _steps(word: str, scripts: frozenset[str]):
-    """(next word, is it a decoding step)."""
-    for wrong in WRONG:
+    """(next word, is it a decoding step, what the step costs). Another reading as a single-byte encoding has no usual order, so
+    two of these that leave nothing implausible stay a tie."""
+    for k, wrong in enumerate(WRONG):
         nxt = _utf8_under(word, wrong)
         if nxt != word:
-            yield nxt, True
-    now = penalty(word, scripts)
-    if now >= 3:
-        for wrong, right in SWAPS:
-            nxt = _swapped(word, wrong, right)
-            # another reading of the same bytes proves nothing by itself: it must leave nothing implausible
-            if nxt and nxt != word and penalty(nxt, scripts) == 0:
-                yield nxt, True
+            yield nxt, True, PRIOR * k
+    for nxt in _readings(word, scripts):
+        # a letter that becomes a sign is no repair
+        if all(b.isalpha() or not a.isalpha() for a, b in zip(word, nxt)):
+            yield nxt, True, PRIOR
     if ENTITY.search(word):
         nxt = _unescaped(word)
         if nxt != word:
-            yield nxt, False
+            yield nxt, False, 0.0
 
 
 @lru_cache(maxsize=200_000)
 def repair(word: str, scripts: frozenset[str] = frozenset()) -> tuple[str, bool]:
     """(cheapest text reached, whether characters come from a wrong decoding, restorable or not)."""
-    start = cost(word, scripts)
-    queue, seen, n = [(start, 0, word, False)], {hash(word)}, 0
-    best, best_decoded = (start, 0, word), False
-    while queue and n < MAX_STEPS:
-        c, depth, state, decoded = heapq.heappop(queue)
-        n += 1
-        if (c, depth) < best[:2]:
-            best, best_decoded = (c, depth, state), decoded
-        for nxt, is_decoding in _steps(state, scripts):
-            if hash(nxt) not in seen:
-                seen.add(hash(nxt))
-                heapq.heappush(queue, (cost(nxt, scripts), depth + 1, nxt, decoded or is_decoding))
-    fixed = best[2] if best_decoded else word
-    return fixed, best_decoded or any(ch == "�" or 0x80 <= ord(ch) < 0xA0 and ch != "\x85" for ch in word)
+    queue, seen = [(cost(word, scripts), 0, word, False, 0.0)], {word}
+    least, cheapest = queue[0][:2], [(word, False)]
+    while queue:
+        c, depth, state, decoded, paid = heapq.heappop(queue)
+        if (c, depth) < least:
+            least, cheapest = (c, depth), []
+        if (c, depth) == least and depth:
+            cheapest.append((state, decoded))
+        for nxt, is_decoding, price in _steps(state, scripts):
+            if nxt not in seen:
+                seen.add(nxt)
+                heapq.heappush(queue, (cost(nxt, scripts) + paid + price, depth + 1, nxt, decoded or is_decoding, paid + price))
+    decoded = any(d for _, d in cheapest)
+    fixed = cheapest[0][0] if decoded and len(cheapest) == 1 else word
+    # another reading that would make the word plausible shows that it is damaged, even if it isn't taken
+    return fixed, decoded or bool(_readings(word, scripts)) or any(ch == "�" or 0x80 <= ord(ch) < 0xA0 and ch != "\x85" for ch in word)
 
 
 def scripts_in(text: str) -> frozenset[str]:
@@ -178,13 +196,16 @@ def scripts_in(text: str) -> frozenset[str]:
 
 
 def repair_text(text: str | None) -> tuple[str | None, bool]:
-    """(restored text, hit). Null, empty and ASCII texts stay and are no hit, but for escapes nothing is changed in them."""
-    if not text or text.isascii():
+    """(restored text, hit). Null, empty and ASCII texts without escapes stay and are no hit; an escape is only undone
+    where a wrong decoding stands behind it."""
+    if not text or text.isascii() and not ENTITY.search(text):
         return text, False
     scripts, hit = scripts_in(text), False
 
     def fix(m: re.Match) -> str:
         nonlocal hit
+        if m[0].isascii() and not ENTITY.search(m[0]):
+            return m[0]
         got, bad = repair(m[0], scripts)
         hit = hit or bad
         return got

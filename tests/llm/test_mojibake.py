@@ -36,6 +36,25 @@ def test_twice_partly_lost_and_swapped():
         assert M.repair_text(x) == (x, False)
 
 
+def test_escapes_in_plain_ascii():
+    assert M.repair_text("caf&Atilde;&copy; noir") == ("café noir", True)
+    assert M.repair_text("caf\\u00c3\\u00a9") == ("café", True)
+    for right in ("caf&eacute; &amp; bar", "a &lt; b", "R\\u00e9sum\\u00e9", "AT&T scan", "x\\used"):
+        assert M.repair_text(right) == (right, False)
+
+
+def test_no_guess_without_a_single_cheapest_text():
+    assert M.repair_text("voilÃ la") == ("voilÃ la", True)
+
+
+def test_search_ends_on_deep_and_long_damage():
+    text = "é"
+    for _ in range(6):
+        text = sloppy(text, "cp1252")
+    assert M.repair_text("caf" + text) == ("café", True)
+    assert M.repair_text("é" * 20_000 + "Ã©") == ("é" * 20_001, True)
+
+
 def test_table(spark):
     long = "word " * 60_000 + "cafÃ©"
     rows = [(1, long, {"a": "JosÃ©", "b": None}, 1), (1, long, {"a": "JosÃ©", "b": None}, 1), (2, None, None, 2), (3, "", {}, 3), (4, "fine é", {"a": "x"}, 4)]
