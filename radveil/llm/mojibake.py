@@ -97,8 +97,9 @@ def penalty(word: str, scripts: frozenset[str]) -> float:
 
 
 def cost(word: str, scripts: frozenset[str]) -> float:
-    """An escape of a character beyond ASCII costs more than the character."""
-    return penalty(word, scripts) + sum(ord(c) > 127 for c in word) + 2 * sum(_unescaped(m[0]) != m[0] for m in ENTITY.finditer(word))
+    """Characters beyond ASCII cost, Latin letters of no usual alphabet more, escapes of such characters most."""
+    rare = sum(0x17F < ord(c) < 0x250 or 0x1E00 <= ord(c) < 0x1EA0 for c in word)
+    return penalty(word, scripts) + sum(ord(c) > 127 for c in word) + 0.5 * rare + 2 * sum(_unescaped(m[0]) != m[0] for m in ENTITY.finditer(word))
 
 
 def _utf8_under(word: str, wrong: str) -> str:
@@ -135,6 +136,7 @@ def _unescaped(word: str) -> str:
     return ENTITY.sub(plain, word)
 
 
+USUAL = "£§°±²³·¼½¾×÷€–—‘’“”«»…"  # signs that stand in ordinary text
 PRIOR = 0.001  # per place in WRONG: of texts that are equally plausible the one by the more usual mistake is cheaper
 
 
@@ -154,8 +156,8 @@ def _steps(word: str, scripts: frozenset[str]):
         if nxt != word:
             yield nxt, True, PRIOR * k
     for nxt in _readings(word, scripts):
-        # a letter that becomes a sign is no repair
-        if all(b.isalpha() or not a.isalpha() for a, b in zip(word, nxt)):
+        # a letter that becomes an unusual sign is no repair
+        if all(b.isalpha() or b in USUAL or not a.isalpha() for a, b in zip(word, nxt)):
             yield nxt, True, PRIOR
     if ENTITY.search(word):
         nxt = _unescaped(word)

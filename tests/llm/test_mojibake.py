@@ -47,6 +47,11 @@ def test_no_guess_without_a_single_cheapest_text():
     assert M.repair_text("voilÃ la") == ("voilÃ la", True)
 
 
+def test_usual_letters_win():
+    assert M.repair_text("PULM" + sloppy("Ã", "mac_roman") + "O") == ("PULMÃO", True)
+    assert M.repair_text("Jos" + "é".encode("cp1252").decode("cp1251")) == ("José", True)
+
+
 def test_search_ends_on_deep_and_long_damage():
     text = "é"
     for _ in range(6):
