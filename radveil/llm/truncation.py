@@ -1,13 +1,14 @@
 """Texts cut by field limits or transfers.
 
-Lengths: per source and unit (characters, bytes) the discrete hazard of ending at a length is the number of texts
+First test, lengths: per source and unit (characters, bytes) the discrete hazard of ending at a length is the number of texts
 of that length over those at least as long, both by window functions. It is tested against the hazard of the
 neighbouring lengths; Benjamini-Hochberg controls the false discoveries over all tests. Copies of a text count once.
 
-Endings: how sentences with a given start end in this corpus is counted over all distinct texts, for the copies of a cut
+Second test, endings: a transfer that broke off has no typical length, so no hazard shows it. How sentences with a given
+start end in this corpus is counted over all distinct texts, for the copies of a cut
 text would make its ending look usual. A text whose last piece
 has no terminator is incomplete if pieces with such a start mostly have one. At significant lengths weaker evidence is
-enough; elsewhere (a transfer that broke off) the start must be known as that of a terminated sentence.
+enough; elsewhere the start must be known as that of a terminated sentence.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.skew import hot_keys, lookup
 from ..session import Stage
 
 NEIGHBOURS = 50  # lengths on either side
@@ -32,7 +34,9 @@ BRACKETED = r"(?s)^(?:\(.*\)|\[.*\]|“.*”|\".*\"|«.*»|\*{3}.*\*{3})$"
 UNCLOSED = r"^(?:\([^)]*|\[[^\]]*|“[^”]*|«[^»]*)$"
 SENTENCES = r"(?<=[.!?।。])\s+"
 PIECES = r"\n|\r|" + SENTENCES
-TAIL = 64  # characters; no mark but dots is longer
+TAIL = 64  # characters that are searched for marks first
+LONGEST_MARK = 24  # characters; where no more than that is left of the tail the marks may begin before it, and the whole text is searched
+PREFIX = 24  # letters of a start by which longer ones are joined; then they are compared in full
 #: White space.
 SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -60,11 +64,21 @@ def hazards(docs: DataFrame) -> DataFrame:
 
 
 def significant(haz: DataFrame, q: float = FALSE_DISCOVERY) -> DataFrame:
-    """The lengths whose hazard stands out, Benjamini-Hochberg at q over all tests. Only p-values of q or less are ranked."""
-    tests = haz.agg(F.count("*").alias("tests"))
-    ranked = haz.where(F.col("p") <= q).withColumn("rank", F.row_number().over(W.orderBy("p", "source", "unit", "n"))).crossJoin(F.broadcast(tests))
-    last = ranked.where(F.col("p") <= F.lit(q) * F.col("rank") / F.col("tests")).agg(F.max("p").alias("limit"))
-    return ranked.crossJoin(F.broadcast(last)).where("p <= limit").drop("rank", "tests", "limit")
+    """The lengths whose hazard stands out, Benjamini-Hochberg at q over all tests.
+
+    Its limit is the largest p that is at most q times the share of p-values up to it. Counted without a ranking: from q
+    downwards the limit is set to q times the share of the p-values within it, until none falls out any more.
+    """
+    haz = Stage(haz.sparkSession, "hazards").write(haz)
+    tests, within = haz.agg(F.count("*"), F.count_if(F.col("p") <= q)).first()
+    limit = q
+    while within:
+        limit = q * within / tests
+        still = haz.where(F.col("p") <= limit).count()
+        if still == within:
+            break
+        within = still
+    return haz.where((F.col("p") <= limit) & F.lit(within > 0))
 
 
 def _key(token: Column) -> Column:
@@ -89,13 +103,15 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 def pieces(docs: DataFrame) -> DataFrame:
     """doc_id, source, bare (text without white space and cut marks at its end), last piece, whether it has a line of its own, how it starts and whether it ended.
 
-    Marks stand at the end, so patterns only see the last TAIL characters; dots of any number are taken off before.
+    Marks stand at the end, so patterns see the last TAIL characters first; where these are little but marks, more may stand before
+    them, and the pattern sees the whole text. Dots of any number are taken off before.
     """
     end = lambda c: F.rtrim(c, F.lit(SPACE))
     whole = once(docs.where("text is not null").select("doc_id", "source", "text"), bare=end(F.col("text")))
     whole = whole.withColumn("bare", F.when(F.col("bare").endswith("..."), end(F.rtrim("bare", F.lit(".")))).otherwise(F.col("bare")))
     size = F.greatest(F.lit(0), F.length("bare") - TAIL)
-    marked = F.concat(F.substr(F.col("bare"), F.lit(1), size), F.regexp_replace(F.right("bare", F.lit(TAIL)), MARK, ""))
+    tail = F.regexp_replace(F.right("bare", F.lit(TAIL)), MARK, "")
+    marked = F.when((size > 0) & (F.length(end(tail)) < LONGEST_MARK), F.regexp_replace("bare", MARK, "")).otherwise(F.concat(F.substr(F.col("bare"), F.lit(1), size), tail))
     whole = once(whole, marked=end(marked)).drop("bare").withColumnRenamed("marked", "bare").where("bare <> ''")
     whole = once(whole, line=F.trim(F.substring_index(F.translate("bare", "\r", "\n"), "\n", -1)))
     whole = once(whole, last=F.trim(F.element_at(F.split("line", SENTENCES), -1)))
@@ -111,6 +127,17 @@ def start_statistics(docs: DataFrame) -> DataFrame:
     return rows.where("x.key is not null").groupBy("x.level", "x.key").agg(F.count("*").alias("n"), F.sum("t").alias("terminated"))
 
 
+def beginnings(stats: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(one, n0, t0): a single token may itself be cut; what pieces do whose first token begins with it. Short tokens meet the
+    prefixes of up to PREFIX letters, longer ones the tokens that share so many letters with them and begin with them."""
+    firsts = stats.where("level = 1").select("key", "n", "terminated")
+    each = firsts.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("key"), F.lit(PREFIX))), lambda k: F.substr(F.col("key"), F.lit(1), k))).alias("one"), "n", "terminated")
+    short = each.groupBy("one").agg(F.sum("n").alias("n0"), F.sum("terminated").alias("t0")).join(wanted.where(F.length("one") <= PREFIX), "one", "left_semi")
+    head = lambda c: F.substring(c, 1, PREFIX)
+    long = wanted.where(F.length("one") > PREFIX).withColumn("head", head("one")).join(firsts.where(F.length("key") > PREFIX).withColumn("head", head("key")), "head").where(F.col("key").startswith(F.col("one")))
+    return short.unionByName(long.groupBy("one").agg(F.sum("n").alias("n0"), F.sum("terminated").alias("t0")))
+
+
 def flagged(docs: DataFrame) -> DataFrame:
     """(doc_id, source, at_limit, share): the cut texts, whether at a significant length, and the share of terminated pieces with the same start.
 
@@ -120,11 +147,13 @@ def flagged(docs: DataFrame) -> DataFrame:
     stage = Stage(docs.sparkSession, "truncation")
     stats = stage.write(start_statistics(docs))
     limits = stage.write(significant(hazards(docs)).select("source", "unit", "n"))
-    open_ = pieces(docs).where("not ended").select("doc_id", "source", F.col("starts.one").alias("one"), F.col("starts.two").alias("two"), F.col("starts.whole").alias("whole"), F.col("starts.tokens").alias("tokens"), "own_line", F.col("last").rlike(UNCLOSED).alias("unclosed"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+    open_ = stage.write(pieces(docs).where("not ended").select("doc_id", "source", F.coalesce("source", F.lit("")).alias("from"), F.col("starts.one").alias("one"), F.col("starts.two").alias("two"), F.col("starts.whole").alias("whole"), F.col("starts.tokens").alias("tokens"), "own_line", F.col("last").rlike(UNCLOSED).alias("unclosed"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes")))
     level = lambda k, name: stats.where(F.col("level") == k).select(F.col("key").alias(name), F.col("n").alias(f"n{k}"), F.col("terminated").alias(f"t{k}"))
-    # a single token may itself be cut: what do the starts with this beginning do
-    prefixes = stats.where("level = 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("key"), F.lit(24))), lambda k: F.substr(F.col("key"), F.lit(1), k))).alias("one"), "n", "terminated").groupBy("one").agg(F.sum("n").alias("n0"), F.sum("terminated").alias("t0"))
-    got = open_.join(level(2, "two"), "two", "left").join(level(1, "one"), "one", "left").join(prefixes, "one", "left").join(level(3, "whole"), "whole", "left")
+    hot = {c: hot_keys(open_.where(F.col(c).isNotNull()), [c]) for c in ("one", "two", "whole")}
+    got = open_
+    for k, name in ((2, "two"), (1, "one"), (3, "whole")):
+        got = lookup(got, level(k, name), [name], "left", hot[name])
+    got = lookup(got, beginnings(stats, open_.where("tokens < 2").select("one").distinct()), ["one"], "left", hot["one"])
 
     def share(k: int) -> Column:
         """Without the piece itself."""
@@ -138,10 +167,9 @@ def flagged(docs: DataFrame) -> DataFrame:
     bare = F.col("n3") - F.col("t3") - 1
     formula = (F.col("t3") >= SEEN) | ((bare >= SEEN) & (bare >= FORMULA * F.when(several, F.col("n2")).otherwise(F.col("n1"))))
     got = got.withColumn("formula", F.col("own_line") & F.coalesce(formula, F.lit(False)))
-    where = lambda unit: F.broadcast(limits.where(F.col("unit") == unit).select(F.col("source").alias("__s"), F.col("n").alias(unit), F.lit(True).alias(f"at_{unit}")))
     for unit in ("chars", "bytes"):
-        lim = where(unit)
-        got = got.join(lim, (F.coalesce(got["source"], F.lit("")) == lim["__s"]) & (got[unit] == lim[unit]), "left").drop(lim["__s"]).drop(lim[unit])
+        at = limits.where(F.col("unit") == unit).select(F.col("source").alias("from"), F.col("n").alias(unit), F.lit(True).alias(f"at_{unit}"))
+        got = lookup(got, at, ["from", unit], "left", hot_keys(open_, ["from", unit]))
     got = got.withColumn("at_limit", F.coalesce("at_chars", "at_bytes", F.lit(False)))
     cut = F.when(F.col("at_limit"), F.coalesce(F.col("share") >= WEAK, F.lit(True))).otherwise(F.coalesce(F.col("share") >= STRONG, F.lit(False))) & ~F.col("formula")
     return got.where(cut).select("doc_id", "source", "at_limit", "share")

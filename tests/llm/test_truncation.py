@@ -64,3 +64,27 @@ def test_copies_are_no_evidence(spark):
     assert {r.source: r.n_cut for r in T.rates(df).collect()} == {"a": 80, "b": 40}
     once = df.dropDuplicates(["source", "text"])
     assert sorted(map(tuple, T.lengths(df).collect())) == sorted(map(tuple, T.lengths(once).collect()))
+
+
+def test_limit_is_that_of_benjamini_and_hochberg(spark):
+    rng = random.Random(7)
+    for n in (0, 1, 40, 400):
+        ps = [rng.choice([rng.random(), rng.random() * 1e-3, 1e-9, 0.004]) for _ in range(n)]
+        df = spark.createDataFrame([("s", "chars", k, p) for k, p in enumerate(ps)], "source string, unit string, n int, p double")
+        ranked = sorted(ps)
+        limit = max((p for k, p in enumerate(ranked, 1) if p <= T.FALSE_DISCOVERY * k / n), default=-1)
+        assert {r.n for r in T.significant(df).collect()} == {k for k, p in enumerate(ps) if p <= limit}
+
+
+def test_marks_longer_than_the_tail(spark):
+    df = spark.createDataFrame([(1, "The lung shows no ch" + " [more]" * 30, "a"), (2, "The lung" + "…" * 200, "a"), (3, "x" * 100 + " [more]", "a")], SCHEMA)
+    assert {r.doc_id: r.bare for r in T.pieces(df).collect()} == {1: "The lung shows no ch", 2: "The lung", 3: "x" * 100}
+
+
+def test_cut_tokens_of_any_length_are_looked_up(spark):
+    long = "Otorhinolaryngologicalexaminations"
+    rows = [("one", long, 5, 5), ("one", long[:26] + "zz", 7, 1), ("one", "Otter", 3, 3)]
+    stats = spark.createDataFrame([(1, k, n, t) for _, k, n, t in rows], "level int, key string, n long, terminated long")
+    wanted = spark.createDataFrame([(x,) for x in ("Ot", "Otorh", long[:25], long[:30], long, "Z")], "one string")
+    got = {r.one: (r.n0, r.t0) for r in T.beginnings(stats, wanted).collect()}
+    assert got == {"Ot": (15, 9), "Otorh": (12, 6), long[:25]: (12, 6), long[:30]: (5, 5), long: (5, 5)}
