@@ -1,12 +1,18 @@
 """Personal information in free text: found, and replaced by typed placeholders.
 
-Items with a form of their own (e-mail, phone, identity number, address) are found by form. Names have none: for them the
-corpus tells how strongly a term reveals a protected person. The protected entities are the patients' names. A term of
-theirs is disclosing by the bits with which names use it more than texts do. Rare terms that no patient bears
-(relatives, staff) are judged by company: over the whole corpus it is counted how often protected names stand in the
-neighbourhoods the term stands in, among all tokens there, and the log-odds of the left and the right neighbourhood add
-up. Terms whose mean probability over all their occurrences exceeds the threshold are removed too, with rare words that
-continue a name.
+Everything is decided by what it discloses about the protected entities, in bits, estimated from the corpus. The
+entities are the persons the reports are about; the registry holds their names.
+
+Items with a form of their own (e-mail, phone, identity number, address) are candidates by form. An item tells whom a
+report is about by log2(reports / reports that hold it) bits; under DISCLOSED bits, as a number that stands in most
+reports, it tells nothing and stays.
+
+Names have no form. A word of the registry is protected by the bits with which names use it more than texts do. All other
+words, of whatever frequency, are judged by company: over the whole corpus it is counted how often protected words stand
+in a neighbourhood, among all tokens that do, and the log-odds of the left and the right neighbourhood add up. Words whose
+mean probability over all their occurrences reaches the threshold disclose a person too (relatives, staff).
+
+What discloses is generalised to its class, which the placeholder names.
 """
 
 from __future__ import annotations
@@ -14,15 +20,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup
 from ..session import Stage
 
 FIELDS = ("clinical_information", "findings", "impression", "advice")
-THRESHOLD = 0.4  # mean probability that a term is a name
-BITS = 0.0  # least advantage of names over texts, in bits, for a protected term
-RARE = 1 / 5000  # share of the fields below which a word is rare
-RARE_LEAST = 10  # fields; words in fewer are rare in any corpus
-SURE = 0.8  # probability from which a single occurrence counts, whatever the term's others say
+DISCLOSED = 1.0  # bits from which an item tells whom a report is about
+UNSEEN = 10  # reports without the item that any corpus is taken to stand for, so that few reports don't make an item common
+BITS = 0.5  # least advantage of names over texts, in bits, for a protected word
+THRESHOLD = 0.4  # mean probability that a word is a name
+SURE = 0.8  # probability from which a single occurrence counts, of words with a mean of SURE_MEAN or more
+SURE_MEAN = 0.05
 PRIOR = 3.0  # weight of the base rate in a context's estimate
+RARE = 1 / 5000  # share of the fields; a word in fewer that stands beside a name continues it, for the removal only
+RARE_LEAST = 10  # fields; words in fewer are rare in any corpus
+BROADCAST_ROWS = 200_000  # up to so many words or contexts, counted before, go to every executor; more are joined by a shuffle
 
 D = "[0-9০-৯]"
 #: Words before identity numbers, and forms of the typed items.
@@ -42,13 +53,15 @@ FORMS = {
     "id_number": "(?iU)" + ID_CUE + r"[\s.:#]*(?:(?:card|no|nr|number|id)\b[\s.:#]*)*(?:\p{L}{1,3}[\s/-]?)?D(?:[\s/-]?D){3,}".replace("D", D),
     "phone": r"(?iU)(?:(?:\+|\b00)D{1,3}(?:[\s.-]?\(?D{2,6}\)?){2,6}|(?:\b[8৮]{2}[\s-]?)?\b[0০][1১]D(?:[\s.-]?D){8}\b|\([0০]D{1,4}\)\s?D(?:[\s.-]?D){4,8}\b|\b[0০][2-9২-৯]D?[\s-]?D{5,8}\b)".replace("D", D),
 }
-#: What the forms can't do without.
+#: Necessary parts of each form, in the same classes, so that a text without one can't hold an item: a cheap look before the form.
 LOOK = {
-    "email": r"(?i)@|[\[({]\s?at\s?[\])}]|\sdot\s",
-    "address": r"(?i)\bh\s*[#.:0-9]|house|holding|vill|flat|apt|apartment|suite|road|street|lane|avenue|sarani|drive|square|box",
-    "id_number": D + r"(?:[\s/-]?" + D + "){3}",
-    "phone": D + r"(?:[\s().-]*" + D + "){6}",
+    "email": r"(?iU)@|[\[({]\s?at\s?[\])}]|\sdot\s",
+    "address": (r"(?iU)\bh(?:ouse)?\s*[#.:]?\s*D|\bholding|\bvill|\bflat|\bapt|\bapartment|\bsuite|road|street|lane|avenue|sarani|drive|square|box").replace("D", D),
+    "id_number": ("(?iU)" + r"D(?:[\s/-]?D){3}").replace("D", D),
+    "phone": ("(?iU)" + r"D(?:[\s.()-]{0,3}D){4}").replace("D", D),
 }
+#: Stand-ins of the items in a text, of a plane no text uses.
+SIGN = {"email": "\U0010fff1", "address": "\U0010fff2", "id_number": "\U0010fff3", "phone": "\U0010fff4"}
 PLACEHOLDER = r"\[[A-Za-z_ ]{2,30}\]"
 #: Honorifics and added name parts; they are no names by themselves.
 HONORIFICS = "md mohd mst most mr mrs ms miss dr prof professor sheikh sk begum khatun uddin miah bibi sister brother".split()
@@ -62,19 +75,52 @@ def fields_of(reports: DataFrame) -> DataFrame:
 
 
 def typed(fields: DataFrame) -> DataFrame:
-    """Adds 'kinds' (array of the kinds found by form) and 'rest', the text with these items and earlier placeholders as #.
+    """Adds 'marked', the text with a sign for each item, 'items' (kind and text of the items, in order) and 'rest', the marked text
+    with signs and earlier placeholders as #.
 
     Order matters: what an e-mail, address or number form has taken is no phone. A form is tried only on texts in which a
-    quick look finds what it can't do without.
+    look finds what it can't do without.
     """
-    steps, out = [], fields.withColumn("rest", F.col("text"))
-    for k in FORMS:
-        out = out.withColumn(f"__{k}", F.col("rest").rlike(LOOK[k]) & F.col("rest").rlike(FORMS[k]))
-        out = out.withColumn("rest", F.when(F.col(f"__{k}"), F.regexp_replace("rest", FORMS[k], " # ")).otherwise(F.col("rest")))
-        steps.append(F.when(F.col(f"__{k}"), F.lit(k)))
-        if k == "email":  # a placeholder may look like the sign of an e-mail, [at]
-            out = out.withColumn("rest", F.when(F.col("rest").contains("["), F.regexp_replace("rest", PLACEHOLDER, " # ")).otherwise(F.col("rest")))
-    return out.withColumn("kinds", F.array_compact(F.array(*steps))).drop(*(f"__{k}" for k in FORMS))
+    out = fields.withColumn("marked", F.col("text"))
+    for k, form in FORMS.items():
+        out = out.withColumn(f"__{k}", F.when(F.col("marked").rlike(LOOK[k]), F.regexp_extract_all("marked", F.lit(form), F.lit(0))))
+        out = out.withColumn("marked", F.when(F.size(f"__{k}") > 0, F.regexp_replace("marked", form, SIGN[k])).otherwise(F.col("marked")))
+    none = F.array().cast("array<string>")
+    of_kind = lambda k: lambda x: F.struct(F.lit(k).alias("kind"), x.alias("item"))
+    items = F.concat(*(F.transform(F.coalesce(f"__{k}", none), of_kind(k)) for k in FORMS))
+    rest = F.regexp_replace("marked", PLACEHOLDER + "|[" + "".join(SIGN.values()) + "]", " # ")
+    rest = F.when(F.col("marked").contains("[") | (F.size("items") > 0), rest).otherwise(F.col("marked"))
+    return out.withColumn("items", items).withColumn("rest", rest).drop(*(f"__{k}" for k in FORMS))
+
+
+def bare_item(item: Column) -> Column:
+    """An item without its blanks and marks, digits as 0-9."""
+    return F.translate(F.lower(F.regexp_replace(item, r"[^\p{L}\p{M}\p{N}@]", "")), "০১২৩৪৫৬৭৮৯", "0123456789")
+
+
+def telling_nothing(docs: DataFrame) -> list[str]:
+    """The items, bare, under DISCLOSED bits: each stands in so large a share of all reports that they are no more than a few times
+    the items of a report. Counted over all reports, map-side first."""
+    n = docs.select("report_id").distinct().count() + UNSEEN
+    each = docs.where(F.size("items") > 0).select("report_id", F.explode("items").alias("i")).select("report_id", bare_item(F.col("i.item")).alias("item")).distinct()
+    return [r.item for r in each.groupBy("item").agg(F.count("*").alias("n")).where(F.log2(F.lit(float(n)) / F.col("n")) < DISCLOSED).collect()]
+
+
+def disclosing_kinds(nothing: list[str]) -> Column:
+    """The kinds of a field's disclosing items."""
+    told = F.filter("items", lambda i: ~bare_item(i["item"]).isin(*nothing)) if nothing else F.col("items")
+    return F.array_distinct(F.transform(told, lambda i: i["kind"]))
+
+
+def generalised(nothing: list[str]) -> Column:
+    """The text with each disclosing item as its class; the others as they were."""
+    text = F.col("marked")
+    for k, sign in SIGN.items():
+        tag, kind = F.lit(f"[{k.upper()}]"), F.lit(k)
+        mine = F.transform(F.filter("items", lambda i: i["kind"] == kind), lambda i: i["item"])  # noqa: B023
+        said = F.transform(mine, lambda x: F.when(bare_item(x).isin(*nothing), x).otherwise(tag)) if nothing else F.transform(mine, lambda x: tag)
+        text = F.when(F.size(mine) > 0, F.array_join(F.zip_with(F.split(text, sign), said, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")).otherwise(text)
+    return text
 
 
 def tokens(rest: Column) -> Column:
@@ -83,80 +129,114 @@ def tokens(rest: Column) -> Column:
     return F.regexp_extract_all(F.lower(bare), F.lit("(?U)" + TOKEN), F.lit(0))
 
 
-def word_classes(docs: DataFrame, names: DataFrame, stage: Stage) -> DataFrame:
-    """(word, cls, df, bits): cls '@' for protected terms, '~' for rare ones. Other words are vocabulary and not listed.
+def small_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left join right, a written table with each key once: broadcast if it has BROADCAST_ROWS or fewer, else with hot keys split."""
+    return left.join(F.broadcast(right), keys, how) if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lookup(left, right, keys, how)
+
+
+def is_word(c: Column) -> Column:
+    return c.rlike(r"^[\p{L}\p{M}]{3,}$") & ~c.isin(*HONORIFICS)
+
+
+def word_counts(docs: DataFrame, names: DataFrame, stage: Stage) -> DataFrame:
+    """(word, n, bits): occurrences of every word, and its bits for words of the registry, else null.
 
     docs: rows with array 'toks'; names: column 'name'. All documents and names count; counting is map-side first.
     """
-    word = lambda c: c.rlike(r"^[\p{L}\p{M}]{3,}$") & ~c.isin(HONORIFICS)
     n_docs, n_names = docs.count(), names.count()
-    df = docs.select(F.explode(F.array_distinct("toks")).alias("word")).where(word(F.col("word"))).groupBy("word").agg(F.count("*").alias("df"))
-    reg = names.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit(r"(?U)[\p{L}\p{M}]{3,}"), F.lit(0)))).alias("word")).where(word(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
-    bits = F.log2((F.col("n") / max(1, n_names)) / ((F.col("df") + 0.5) / max(1, n_docs)))
-    both = df.join(reg, "word", "left").withColumn("bits", bits)
-    cls = F.when(F.col("bits") > BITS, "@").when(F.col("df") < max(RARE_LEAST, n_docs * RARE), "~")
-    return stage.write(both.withColumn("cls", cls).where("cls is not null").select("word", "cls", "df", "bits"))
+    used = docs.select(F.explode("toks").alias("word")).where(is_word(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
+    reg = names.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit(r"(?U)[\p{L}\p{M}]{3,}"), F.lit(0)))).alias("word")).where(is_word(F.col("word"))).groupBy("word").agg(F.count("*").alias("k"))
+    bits = F.log2((F.col("k") / max(1, n_names)) / ((F.col("n") + 0.5) / max(1, n_docs)))
+    return stage.write(used.join(reg, "word", "left").select("word", "n", bits.alias("bits")))
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """(report_id, field, word, l2, l, r, r2) of every word with its neighbours; ^ and $ beyond the ends."""
+    at = lambda k, e: F.coalesce(F.get("toks", k), F.lit(e))
+    spots = F.transform("toks", lambda t, i: F.struct(t.alias("word"), at(i - 2, "^").alias("l2"), at(i - 1, "^").alias("l"), at(i + 1, "$").alias("r"), at(i + 2, "$").alias("r2")))
+    # arrays start again before their first element, so its neighbours are taken apart
+    first = lambda i, c, k: F.when(i < k, F.lit("^")).otherwise(c)
+    spots = F.transform(spots, lambda s, i: F.struct(s["word"].alias("word"), first(i, s["l2"], 2).alias("l2"), first(i, s["l"], 1).alias("l"), s["r"].alias("r"), s["r2"].alias("r2")))
+    return docs.select("report_id", "field", F.explode(F.filter(spots, lambda s: F.length(s["word"]) >= 3)).alias("s")).select("report_id", "field", "s.*")
 
 
-def occurrences(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(report_id, field, word, l2, l, r, r2, cls) of the listed words with their neighbours; ^ and $ beyond the ends."""
-    at = lambda k: F.get("toks", k)
-    spots = F.transform("toks", lambda t, i: F.struct(t.alias("word"), at(i - 2).alias("l2"), at(i - 1).alias("l"), at(i + 1).alias("r"), at(i + 2).alias("r2")))
-    each = docs.select("report_id", "field", F.explode(F.filter(spots, lambda s: F.length(s["word"]) >= 3)).alias("s")).select("report_id", "field", "s.*")
-    met = each.join(classes.select("word", "cls"), "word")
-    return met.select("report_id", "field", "word", *(F.coalesce(c, F.lit(e)).alias(c) for c, e in (("l2", "^"), ("l", "^"), ("r", "$"), ("r2", "$"))), "cls")
+CONTEXTS = ("L1", "L2", "R1", "R2")
 
 
-def contexts() -> dict[str, Column]:
-    """The neighbourhoods of an occurrence by kind: one word or two tokens on either side; a lone mark is none."""
-    alone = lambda c: F.when(F.col(c).rlike(r"^[\p{L}\p{M}]"), F.col(c))
-    return {"L1": alone("l"), "L2": F.concat_ws(" ", "l2", "l"), "R1": alone("r"), "R2": F.concat_ws(" ", "r", "r2")}
+def context(kind: str) -> Column:
+    """Hash of a neighbourhood of an occurrence: one word or two tokens on either side; null where the one is a lone mark."""
+    side = kind[0].lower()
+    if kind[1] == "1":
+        return F.when(F.col(side).rlike(r"^[\p{L}\p{M}]"), F.xxhash64(F.lit(1), side))
+    return F.xxhash64(F.lit(2), "l2", "l") if side == "l" else F.xxhash64(F.lit(2), "r", "r2")
 
 
 def context_totals(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(ctx, n): how often each wanted run of one or two tokens stands in the corpus, beyond the ends included."""
     padded = F.concat(F.array(F.lit("^"), F.lit("^")), "toks", F.array(F.lit("$"), F.lit("$")))
-    runs = F.concat(F.col("toks"), F.zip_with(padded, F.slice(padded, F.lit(2), F.size(padded) - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    return docs.select(F.explode(runs).alias("ctx")).join(wanted.select("ctx").distinct(), "ctx", "left_semi").groupBy("ctx").agg(F.count("*").alias("n"))
+    twos = F.zip_with(padded, F.slice(padded, F.lit(2), F.size(padded) - 1), lambda a, b: F.xxhash64(F.lit(2), a, F.coalesce(b, F.lit(""))))
+    runs = F.concat(F.transform("toks", lambda t: F.xxhash64(F.lit(1), t)), F.slice(twos, F.lit(1), F.size(padded) - 1))
+    return small_join(docs.select(F.explode(runs).alias("ctx")), wanted, ["ctx"], "left_semi").groupBy("ctx").agg(F.count("*").alias("n"))
 
 
-def judged(docs: DataFrame, occ: DataFrame, classes: DataFrame, stage: Stage) -> DataFrame:
-    """occ with 'p': 1 for protected terms; for rare ones the probability that the occurrence is a name, by its neighbourhoods.
+def told_contexts(docs: DataFrame, protected: DataFrame, stage: Stage) -> tuple[DataFrame, float]:
+    """((kind, ctx, gain), base rate): the log-odds by which a neighbourhood speaks for a name.
 
-    A context tells by how often protected terms stand in it among all tokens of the corpus that do. Contexts that
-    protected terms were seen in less than twice tell nothing, nor do protected terms as contexts.
+    A context tells by how often protected words stand in it among all tokens of the corpus that do. Contexts that
+    protected words were seen in less than twice tell nothing, nor do protected words as contexts.
     """
-    names = classes.where("cls = '@'").select(F.col("word").alias("next"))
-    kinds = contexts()
-    each = F.explode(F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("ctx"), F.col("l" if k[0] == "L" else "r").alias("next")) for k, c in kinds.items())), lambda c: c["ctx"].isNotNull()))
-    told = occ.where("cls = '@'").select(each.alias("c")).select("c.*").groupBy("kind", "ctx", "next").agg(F.count("*").alias("k")).where(F.col("k") >= 2)
-    told = stage.write(told.join(names, "next", "left_anti").select("kind", "ctx", "k"))
-    total = context_totals(docs, told)
+    occ = stage.write(small_join(windows(docs), protected, ["word"]))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), context(k).alias("ctx"), F.col(k[0].lower()).alias("next")) for k in CONTEXTS)))
+    seen = occ.select(each.alias("c")).select("c.*").where("ctx is not null").groupBy("kind", "ctx", "next").agg(F.count("*").alias("k")).where(F.col("k") >= 2)
+    told = stage.write(seen.join(protected.select(F.col("word").alias("next")), "next", "left_anti").select("kind", "ctx", "k"))
+    total = context_totals(docs, stage.write(told.select("ctx").distinct()))
     n_all = docs.agg(F.coalesce(F.sum(F.size("toks")), F.lit(0))).first()[0]
-    p0 = max(1e-6, min(0.5, occ.where("cls = '@'").count() / max(1, n_all)))
+    p0 = max(1e-6, min(0.5, occ.count() / max(1, n_all)))
     q = (F.col("k") + PRIOR * p0) / (F.col("n") + PRIOR)
-    known = stage.write(told.join(total, "ctx").withColumn("gain", F.log(q / (1 - q)) - F.log(F.lit(p0 / (1 - p0)))).select("kind", "ctx", "gain"))
-    got = occ.withColumns(kinds)
-    for kind in ("L1", "L2", "R1", "R2"):
-        got = got.join(known.where(F.col("kind") == kind).select(F.col("ctx").alias(kind), F.col("gain").alias(f"g{kind}")), kind, "left")
-    side = lambda s: F.coalesce(F.greatest(f"g{s}1", f"g{s}2"), F.lit(0.0))
-    odds = F.lit(p0 / (1 - p0)) * F.exp(side("L") + side("R"))
-    return got.select(*occ.columns, F.when(F.col("cls") == "@", 1.0).otherwise(odds / (1 + odds)).alias("p"))
+    known = told.join(total, "ctx").withColumn("gain", F.log(q / (1 - q)) - F.log(F.lit(p0 / (1 - p0))))
+    return stage.write(known.select("kind", "ctx", "gain")), p0
+
 
+def judged(docs: DataFrame, words: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """((report_id, field, word, l, r, p) of the unprotected words in a known neighbourhood, (word, score) of the disclosing words).
 
-def disclosing_terms(occ: DataFrame) -> DataFrame:
-    """(word, score): mean probability over all occurrences, where it reaches the threshold. occ: judged()."""
-    return occ.groupBy("word").agg(F.avg("p").alias("score")).where(F.col("score") >= THRESHOLD)
+    p: the probability that the occurrence is a name, by its neighbourhoods; occurrences in no known neighbourhood have the
+    base rate and needn't be listed for a word's mean. Protected words score 1.
+    """
+    protected = stage.write(words.where(F.col("bits") >= BITS).select("word"))
+    known, p0 = told_contexts(docs, protected, stage)
+    got = windows(docs).where(is_word(F.col("word"))).withColumns({k: context(k) for k in CONTEXTS})
+    for k in CONTEXTS:
+        # the hash of a context says of which kind it is but for the side
+        mine = stage.write(known.where(F.col("kind") == k).select(F.col("ctx").alias(k), F.col("gain").alias(f"g{k}")))
+        got = small_join(got, mine, [k], "left")
+    side = lambda s: F.coalesce(F.greatest(f"g{s}1", f"g{s}2"), F.lit(0.0))
+    odds = F.lit(p0 / (1 - p0)) * F.exp(side("L") + side("R"))
+    spoken = F.coalesce(*(f"g{k}" for k in CONTEXTS)).isNotNull()
+    near = stage.write(small_join(got.where(spoken), protected, ["word"], "left_anti").select("report_id", "field", "word", "l", "r", (odds / (1 + odds)).alias("p")))
+    sums = near.groupBy("word").agg(F.sum("p").alias("s"), F.count("*").alias("k"))
+    mean = (F.col("s") + (F.col("n") - F.col("k")) * p0) / F.col("n")
+    scored = stage.write(sums.join(words, "word").select("word", mean.alias("score")).where(F.col("score") >= SURE_MEAN))
+    return near, stage.write(protected.withColumn("score", F.lit(1.0)).unionByName(scored))
 
 
-def analysed(reports: DataFrame, identity: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(typed fields, occurrences, disclosing terms)."""
+def analysed(reports: DataFrame, identity: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[str], DataFrame]:
+    """(typed fields, judged occurrences, scored words, items that tell nothing, word counts)."""
     stage = Stage(reports.sparkSession, "sanitise")
     docs = stage.write(typed(fields_of(reports)).withColumn("toks", tokens(F.col("rest"))))
     names = identity.select(F.col("patient_name").alias("name")).where("name is not null").distinct()
-    classes = word_classes(docs, names, stage)
-    occ = stage.write(judged(docs, stage.write(occurrences(docs, classes)), classes, stage))
-    return docs, occ, stage.write(disclosing_terms(occ))
+    words = word_counts(docs, names, stage)
+    near, scored = judged(docs, words, stage)
+    return docs, near, scored, telling_nothing(docs), words
+
+
+def disclosing(scored: DataFrame) -> DataFrame:
+    return scored.where(F.col("score") >= THRESHOLD).select("word")
+
+
+def sure(near: DataFrame, scored: DataFrame) -> DataFrame:
+    """Single occurrences whose neighbourhoods leave little doubt, of words that stand in such ones often enough."""
+    return near.where(F.col("p") >= SURE).join(scored.select("word"), "word", "left_semi")
 
 
 def found(reports: DataFrame, identity: DataFrame) -> DataFrame:
@@ -165,9 +245,12 @@ def found(reports: DataFrame, identity: DataFrame) -> DataFrame:
     Null and empty fields hold none; placeholders in square brackets are no items; repeated rows count once; several
     texts of one report and field count together. Empty tables give no rows.
     """
-    docs, occ, terms = analysed(reports, identity)
-    named = occ.join(terms, "word", "left").where((F.col("score").isNotNull()) | (F.col("p") >= SURE)).select("report_id", "field", F.lit("person_name").alias("kind"))
-    return docs.select("report_id", "field", F.explode("kinds").alias("kind")).unionByName(named).distinct()
+    docs, near, scored, nothing, _ = analysed(reports, identity)
+    stage = Stage(reports.sparkSession, "found")
+    each = docs.select("report_id", "field", F.explode(F.array_distinct("toks")).alias("word"))
+    spots = small_join(each, stage.write(disclosing(scored)), ["word"], "left_semi").unionByName(sure(near, scored).select("report_id", "field", "word"))
+    named = spots.select("report_id", "field", F.lit("person_name").alias("kind"))
+    return docs.where(F.size("items") > 0).select("report_id", "field", F.explode(disclosing_kinds(nothing)).alias("kind")).unionByName(named).distinct()
 
 
 def sanitised(reports: DataFrame, identity: DataFrame) -> DataFrame:
@@ -175,20 +258,25 @@ def sanitised(reports: DataFrame, identity: DataFrame) -> DataFrame:
 
     The terms to remove are collected per field, so their number is bounded by the field's words.
     """
-    docs, occ, terms = analysed(reports, identity)
-    sure = terms.select("word", F.lit(True).alias("hit"))
-    marked = occ.join(sure, "word", "left").withColumn("hit", F.coalesce("hit", F.col("p") >= SURE))
+    docs, near, scored, nothing, words = analysed(reports, identity)
+    stage = Stage(reports.sparkSession, "sanitised")
+    terms, limit = stage.write(disclosing(scored)), max(RARE_LEAST, docs.count() * RARE)
+    rare = stage.write(words.where(F.col("n") < limit).select("word", F.lit(True).alias("rare")))
+    # disclosing words, and rare ones beside them that continue a name
+    marked = small_join(windows(docs), stage.write(terms.withColumn("hit", F.lit(True))), ["word"], "left")
     for c in ("l", "r"):
-        marked = marked.join(sure.select(F.col("word").alias(c), F.col("hit").alias(f"{c}_hit")), c, "left")
-    gone = marked.where("hit or (cls = '~' and (l_hit or r_hit))").groupBy("report_id", "field").agg(F.array_sort(F.collect_set("word")).alias("terms"))
+        marked = small_join(marked, stage.write(terms.select(F.col("word").alias(c), F.lit(True).alias(f"{c}_hit"))), [c], "left")
+    marked = marked.where("hit or l_hit or r_hit")
+    beside = small_join(marked.where("hit is null").select("report_id", "field", "word"), rare, ["word"], "left_semi")
+    every = marked.where("hit").select("report_id", "field", "word").unionByName(beside).unionByName(sure(near, scored).select("report_id", "field", "word"))
+    gone = every.groupBy("report_id", "field").agg(F.array_sort(F.collect_set("word")).alias("terms"))
     word = F.array_join("terms", "|")
     initials = r"(?:\b\p{L}\.\s*)*"
     pattern = F.concat(F.lit(rf"(?iU){initials}\b(?:"), word, F.lit(rf")\b(?:[\s,.-]{{0,3}}{initials}\b(?:"), word, F.lit(r")\b)*"))
-    text = F.regexp_replace("text", FORMS["email"], "[EMAIL]")
-    for k, tag in (("address", "[ADDRESS]"), ("id_number", "[ID_NUMBER]"), ("phone", "[PHONE]")):
-        text = F.regexp_replace(text, FORMS[k], tag)
-    clean = docs.join(gone, ["report_id", "field"], "left").withColumn("clean", text)
-    clean = clean.withColumn("clean", F.when(F.col("terms").isNotNull(), F.regexp_replace("clean", pattern, F.lit("[PERSON_NAME]"))).otherwise(F.col("clean")))
+    # names first, in the marked text: what a placeholder says is no name
+    clean = docs.join(gone, ["report_id", "field"], "left")
+    clean = clean.withColumn("marked", F.when(F.col("terms").isNotNull(), F.regexp_replace("marked", pattern, F.lit("[PERSON_NAME]"))).otherwise(F.col("marked")))
+    clean = clean.withColumn("clean", F.when(F.size("items") > 0, generalised(nothing)).otherwise(F.col("marked")))
     wide = clean.groupBy("report_id").agg(*(F.map_from_entries(F.collect_list(F.when(F.col("field") == f, F.struct("text", "clean")))).alias(f"__{f}") for f in FIELDS))
     rows = reports.select("report_id", *FIELDS).distinct().join(wide, "report_id", "left")
     return rows.select("report_id", *(F.coalesce(F.element_at(f"__{f}", F.col(f)), F.col(f)).alias(f) for f in FIELDS))

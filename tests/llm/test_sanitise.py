@@ -18,7 +18,7 @@ CLEAN = ["Contact details held as [PHONE].", "Series 20344811 and 20344812 were
 
 def test_forms(spark):
     rows = [(f"{k}-{n}", t, None, None, None) for k, ts in ITEMS.items() for n, t in enumerate(ts)] + [(f"clean-{n}", t, "", None, None) for n, t in enumerate(CLEAN)]
-    got = {(r.report_id, k) for r in S.typed(S.fields_of(spark.createDataFrame(rows, SCHEMA))).collect() for k in r.kinds}
+    got = {(r.report_id, k) for r in S.typed(S.fields_of(spark.createDataFrame(rows, SCHEMA))).withColumn("kinds", S.disclosing_kinds([])).collect() for k in r.kinds}
     assert got == {(f"{k}-{n}", k) for k, ts in ITEMS.items() for n in range(len(ts))}
 
 
@@ -58,3 +58,63 @@ def test_sanitised_text_keeps_the_rest(spark):
     assert "[PERSON_NAME] was informed." in got["r001"].findings and got["r002"].findings == rows[2][2]
     assert got["m"].clinical_information == "Call [PHONE] now" and got["m"].findings.endswith("x [EMAIL]") and got["m"].impression is None and got["m"].advice == ""
     assert set(got) == {r[0] for r in rows} | {"m"}
+
+
+def test_looks_let_every_item_pass(spark):
+    """A look may only leave out texts that can't hold an item."""
+    import re
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    def plain(pattern):
+        out, inside = "", False
+        for part in re.findall(r"\\p\{.\}|\\.|.", pattern.removeprefix("(?iU)")):
+            inside = part == "[" or inside and part != "]"
+            letters = {"\\p{L}": "a-z", "\\p{M}": "\u09be", "\\p{N}": "0-9"}.get(part)
+            out += part if letters is None else letters if inside else f"[{letters}]"
+        return re.compile(out, re.I)
+
+    def passes(kind):
+        look = re.compile(S.LOOK[kind].removeprefix("(?iU)"), re.I)
+
+        @settings(max_examples=150, deadline=None)
+        @given(st.from_regex(plain(S.FORMS[kind])))
+        def check(text):
+            assert look.search(text), (kind, text)
+
+        check()
+
+    for kind in S.FORMS:
+        passes(kind)
+    rows = [("a", "call +1 23 45 now", None, None, None), ("b", "lives at H ১২, R ৩, Block C", None, None, None), ("c", "x\u00a0dot\u00a0y a at b dot c", None, None, None)]
+    got = {r.report_id: r.kinds for r in S.typed(S.fields_of(spark.createDataFrame(rows, SCHEMA))).withColumn("kinds", S.disclosing_kinds([])).collect()}
+    assert got == {"a": ["phone"], "b": ["address"], "c": ["email"]}
+
+
+def test_found_and_sanitised_agree(spark):
+    df, ident, _ = corpus(spark)
+    more = spark.createDataFrame([(f"{k}-{n}", t, None, None, None) for k, ts in ITEMS.items() for n, t in enumerate(ts)] + [("a", "call +1 23 45 now", "", None, None), ("b", "lives at H ১২, R ৩, Block C", None, "", None)], SCHEMA)
+    every = df.select(*more.columns).union(more)
+    before = {r.report_id: r for r in every.collect()}
+    changed = {(r.report_id, f) for r in S.sanitised(every, ident).collect() for f in S.FIELDS if r[f] != before[r.report_id][f]}
+    assert changed == {(r.report_id, r.field) for r in S.found(every, ident).collect()}
+
+
+def test_an_item_of_most_reports_tells_nothing(spark):
+    rows = [(f"r{k}", f"Desk 02-55002523, ask for 01712-345{k:03d}." if k < 90 else "No number here.", None, None, None) for k in range(100)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    ident = spark.createDataFrame([("Rahima Trossoseno",)], "patient_name string")
+    assert S.telling_nothing(S.typed(S.fields_of(df))) == ["0255002523"]
+    got = {r.report_id: r.clinical_information for r in S.sanitised(df, ident).collect()}
+    assert got["r7"].startswith("Desk 02-55002523, ask for ") and "345007" not in got["r7"] and got["r95"] == "No number here."
+    third = df.where("report_id < 'r4'")
+    assert S.telling_nothing(S.typed(S.fields_of(third.limit(3)))) == []
+
+
+def test_frequent_names_are_judged_too(spark):
+    """A relative's or clinician's name that no patient bears is found however often it stands in the texts."""
+    df, ident, rows = corpus(spark)
+    more = [(f"x{k}", None, f"The liver is normal in size. Film labelled Zumbeka Wandolin. Noted. {k}", "", None) for k in range(200)]
+    got = {(r.report_id, r.kind) for r in S.found(df.select(*SCHEMA.replace(" string", "").split(", ")).union(spark.createDataFrame(more, SCHEMA)), ident).collect()}
+    assert {(f"x{k}", "person_name") for k in range(200)} <= got and ("r002", "person_name") not in got
