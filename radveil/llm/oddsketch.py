@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 from ..session import Stage
 from .leakage import Hasher, shingle_hashes
 
-BANDS, ROWS = 64, 4  # a pair of similarity 0.5 meets in a band with probability 0.984, of 0.6 with 0.9999
+BANDS, ROWS = 96, 4  # a pair of similarity 0.5 meets in a band with probability 0.998, of 0.55 with 0.9999
 SKETCH_WORDS = 16  # 64-bit words of the odd sketch: 1,024 bits
-SLACK = 0.2  # an estimate this far under the threshold is over six standard errors away
+SLACK = 0.2  # an estimate this far under the threshold is over four standard errors away
 WORDS = re.compile("[a-z0-9]+")
 
 _SIGNED = T.StructType([T.StructField("n_words", T.IntegerType()), T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
@@ -31,12 +31,13 @@ _SIGNED = T.StructType([T.StructField("n_words", T.IntegerType()), T.StructField
 
 def _signer(shingle: int, least_words: int, bands: int, rows: int, words_in_sketch: int):
     k, bits = bands * rows, 64 * words_in_sketch
+    pairs = (k + 1) // 2
 
     @F.pandas_udf(_SIGNED)
     def sign(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(20240229)
-        a = rng.integers(1, 2**63, k, np.uint64) | np.uint64(1)
-        b = rng.integers(0, 2**63, k, np.uint64)
+        a = rng.integers(1, 2**63, pairs, np.uint64) | np.uint64(1)
+        b = rng.integers(0, 2**63, pairs, np.uint64)
         salt = rng.integers(0, 2**63, k, np.uint64)
         hasher = Hasher()
         for texts in parts:
@@ -47,10 +48,13 @@ def _signer(shingle: int, least_words: int, bands: int, rows: int, words_in_sket
                     out.append((len(ws), [], [], []))
                     continue
                 s = np.unique(shingle_hashes(hasher(ws), shingle))
-                low = np.full(k, np.iinfo(np.uint64).max, np.uint64)
+                least = np.full(2 * pairs, np.iinfo(np.uint32).max, np.uint32)
                 for at in range(0, len(s), 4096):  # whole texts, in blocks that bound memory
                     h = s[at : at + 4096, None] * a[None, :] + b[None, :]
-                    low = np.minimum(low, (h ^ (h >> np.uint64(29))).min(axis=0))
+                    h ^= h >> np.uint64(29)
+                    # either half of a hash is a sample of its own
+                    least = np.minimum(least, h.view(np.uint32).min(axis=0))
+                low = least[:k].astype(np.uint64)
                 banded = np.zeros(bands, np.uint64)
                 for r in range(rows):
                     banded = (banded ^ low[r::rows]) * np.uint64(0x9E3779B97F4A7C15)
