@@ -100,6 +100,30 @@ OLE_FIELDS = (
 )
 OLE_MAGIC = "D0CF11E0A1B11AE1"
 
+# Numbers of the elements that de-identification names, in the public DICOM dictionary.
+TAG_NUMBERS = {
+    "SOPInstanceUID": 0x00080018, "ImageType": 0x00080008, "StudyDate": 0x00080020, "SeriesDate": 0x00080021, "AcquisitionDate": 0x00080022,
+    "ContentDate": 0x00080023, "AccessionNumber": 0x00080050, "Modality": 0x00080060, "InstitutionName": 0x00080080,
+    "InstitutionAddress": 0x00080081, "ReferringPhysicianName": 0x00080090, "ConsultingPhysicianName": 0x0008009C, "StationName": 0x00081010,
+    "StudyDescription": 0x00081030, "InstitutionalDepartmentName": 0x00081040, "PhysiciansOfRecord": 0x00081048,
+    "PerformingPhysicianName": 0x00081050, "NameOfPhysiciansReadingStudy": 0x00081060, "OperatorsName": 0x00081070,
+    "AdmittingDiagnosesDescription": 0x00081080, "ManufacturerModelName": 0x00081090, "PatientName": 0x00100010, "PatientID": 0x00100020,
+    "IssuerOfPatientID": 0x00100021, "PatientBirthDate": 0x00100030, "PatientBirthTime": 0x00100032, "PatientSex": 0x00100040,
+    "PatientInsurancePlanCodeSequence": 0x00100050, "OtherPatientIDs": 0x00101000, "OtherPatientNames": 0x00101001,
+    "OtherPatientIDsSequence": 0x00101002, "PatientBirthName": 0x00101005, "PatientAge": 0x00101010, "PatientAddress": 0x00101040,
+    "PatientMotherBirthName": 0x00101060, "MilitaryRank": 0x00101080, "BranchOfService": 0x00101081, "MedicalRecordLocator": 0x00101090,
+    "CountryOfResidence": 0x00102150, "RegionOfResidence": 0x00102152, "PatientTelephoneNumbers": 0x00102154, "Occupation": 0x00102180,
+    "AdditionalPatientHistory": 0x001021B0, "PatientReligiousPreference": 0x001021F0, "ResponsiblePerson": 0x00102297,
+    "PatientComments": 0x00104000, "PatientIdentityRemoved": 0x00120062, "DeidentificationMethod": 0x00120063, "DeviceSerialNumber": 0x00181000,
+    "StudyInstanceUID": 0x0020000D, "SeriesInstanceUID": 0x0020000E, "StudyID": 0x00200010, "FrameOfReferenceUID": 0x00200052,
+    "ImageComments": 0x00204000, "BurnedInAnnotation": 0x00280301, "RequestingPhysician": 0x00321032, "StudyComments": 0x00324000,
+    "ScheduledPerformingPhysicianName": 0x00400006, "RequestAttributesSequence": 0x00400275, "NamesOfIntendedRecipientsOfResults": 0x00401010,
+    "OrderEnteredBy": 0x00402008, "HumanPerformerName": 0x00404037, "VerifyingObserverName": 0x0040A075, "PersonName": 0x0040A123,
+    "ContentCreatorName": 0x00700084, "ROIInterpreter": 0x300600A6, "ReviewerName": 0x300E0008, "InterpretationRecorder": 0x40080102,
+    "InterpretationTranscriber": 0x4008010A, "InterpretationAuthor": 0x4008010C, "PhysicianApprovingInterpretation": 0x40080114,
+    "DistributionName": 0x40080119,
+}
+
 # Elements of value representation PN in the public DICOM dictionary, by keyword.
 PERSON_NAME_TAGS = (
     "ConsultingPhysicianName", "ContentCreatorName", "DistributionName", "EvaluatorName", "HumanPerformerName", "InterpretationAuthor",

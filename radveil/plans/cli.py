@@ -21,7 +21,8 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--checkpoint-dir", help="folder that all executors share, for intermediate tables (spark.checkpoint.dir); needed on a cluster")
     ap.add_argument("--limit", type=int, help="only the first N files")
     ap.add_argument("--allow-pending-linkage", action="store_true", help="don't hold back records under linkage review")
-    ap.add_argument("--input", help="dicom: Parquet table of headers (file, tags)")
+    ap.add_argument("--input", help="dicom: a folder of DICOM files, or a Parquet table of headers (file, tags)")
+    ap.add_argument("--dicom-out", help="dicom: folder of the de-identified files, shared by all executors (default: images in the research folder)")
     a = ap.parse_args(argv)
     cfg = pipeline.Config(a.raw.resolve(), a.secure.resolve(), a.research.resolve(), a.key_file.resolve(), a.converter, a.limit, block_pending_linkage=not a.allow_pending_linkage)
     for p in (cfg.secure_dir, cfg.research_dir):
@@ -36,7 +37,11 @@ def main(argv: list[str] | None = None) -> int:
         else:
             if not a.input:
                 ap.error("dicom needs --input")
-            got = pipeline.dicom_headers(spark, cfg, spark.read.parquet(a.input))
+            folder = Path(a.input)
+            if folder.is_dir() and not any(folder.glob("*.parquet")):
+                got = pipeline.dicom_folder(spark, cfg, str(folder.resolve()), a.dicom_out or str(cfg.research_dir / "images"))
+            else:
+                got = pipeline.dicom_headers(spark, cfg, spark.read.parquet(a.input))
             for name, df in got.items():
                 df.write.mode("overwrite").parquet(str(cfg.secure_dir / f"dicom_{name}"))
     except (ReleaseBlocked, FileNotFoundError) as e:

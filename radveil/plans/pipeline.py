@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..operators import imaging, inventory, linkage, qa, release, staging, state
 from ..session import Stage, ship
+from ..sources import dicom
 from ..sources import files as src
 from ..sources import sinks
 from ..sources.vault import Vault
@@ -174,20 +175,34 @@ def release_dataset(spark: SparkSession, cfg: Config) -> dict:
     return manifest
 
 
-def dicom_headers(spark: SparkSession, cfg: Config, headers: DataFrame) -> dict[str, DataFrame]:
+def dicom_folder(spark: SparkSession, cfg: Config, folder: str, out: str) -> dict[str, DataFrame]:
+    """dicom_headers over the files of a folder, and de-identified copies of the linked ones below ``out``."""
+    ship(spark)
+    headers = Stage(spark, "headers").write(dicom.read_headers(spark, folder))
+    got = dicom_headers(spark, cfg, headers, folder, out)
+    return got
+
+
+def dicom_headers(spark: SparkSession, cfg: Config, headers: DataFrame, folder: str | None = None, copies: str | None = None) -> dict[str, DataFrame]:
     """Linked, de-identified and unlinked header rows; saves the image links, and the manifest and the unlinked files as CSV parts
-    where there are any."""
+    where there are any. With a folder and a place for copies the files themselves are rewritten."""
     ship(spark)
     vault = Vault(cfg.secure_dir, cfg.key_file)
     identity, shifts = (_load(vault, spark, n) for n in ("identity_map", "date_shifts"))
     linked = Stage(spark, "dicom").write(imaging.nearest_report(headers, identity, key=vault.link_key))
     done = imaging.deidentified_headers(headers, linked, identity, shifts, vault.link_key)
+    columns = ["file", "report_uid", "study_id", "needs_pixel_review"]
+    if folder and copies:
+        who = identity.groupBy("uid").agg(F.min("research_patient_id").alias("research_patient_id"))
+        rows = linked.join(who, "uid").join(shifts, "research_patient_id")
+        written = Stage(spark, "copies").write(dicom.write_copies(spark, folder, rows, copies, vault.link_key))
+        done, columns = done.join(written, "file"), [*columns, "output"]
     links = imaging.image_links(done)
     old = _load(vault, spark, "image_links")
     vault.save("image_links", old.join(links, "uid", "left_anti").unionByName(links))
     vault.log_access("dicom", files=headers.count())
     out = {"manifest": done, "unlinked": imaging.unlinked(headers, linked)}
-    for name, df, columns in (("dicom_manifest_csv", done, ["file", "report_uid", "study_id", "needs_pixel_review"]), ("dicom_unlinked_csv", out["unlinked"], ["file", "reason"])):
+    for name, df, shown in (("dicom_manifest_csv", done, columns), ("dicom_unlinked_csv", out["unlinked"], ["file", "reason"])):
         if not df.isEmpty():
-            sinks.write_csv_parts(df.orderBy("file"), str(cfg.secure_dir / name), columns)
+            sinks.write_csv_parts(df.orderBy("file"), str(cfg.secure_dir / name), shown)
     return out
