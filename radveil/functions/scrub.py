@@ -99,8 +99,11 @@ def scrub_fields(df, texts: str, terms: str, id_no: str, shift_days: str):
     df = df.withColumns({"__t": F.transform(F.col(texts), lambda t: F.coalesce(t, F.lit(""))), "__id_pattern": own_id_pattern(F.col(id_no), True), "__name_pattern": names_pattern(F.col(terms)), "__n": F.array().cast("array<struct<l:string,n:int>>")})
 
     def step(df, label, pattern, by):
-        found = F.array(F.struct(F.lit(label).alias("l"), _hits(F.col("__t"), pattern).alias("n")))
-        return df.withColumn("__n", F.concat("__n", found)).withColumn("__t", _sub(F.col("__t"), pattern, by))
+        # counted only in texts that the replacement has changed
+        df = df.withColumn("__u", _sub(F.col("__t"), pattern, by))
+        changed = F.zip_with("__t", "__u", lambda t, u: F.when(t != u, F.regexp_count(t, pattern)).otherwise(0))
+        found = F.array(F.struct(F.lit(label).alias("l"), F.aggregate(changed, F.lit(0), lambda n, k: n + F.coalesce(k, F.lit(0))).alias("n")))
+        return df.withColumn("__n", F.concat("__n", found)).withColumn("__t", F.col("__u")).drop("__u")
 
     for s in first:
         df = step(df, *s)

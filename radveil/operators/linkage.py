@@ -60,12 +60,19 @@ def merge_edges(recs: DataFrame) -> DataFrame:
 
 
 def same_id_pairs(recs: DataFrame) -> DataFrame:
-    """Pass 2: pairs of equal keyed number whose name or sex differs."""
+    """Pass 2: pairs of equal keyed number whose name or sex differs.
+
+    The identities of a number are paired first, then their records: the many records of one person under a number with very
+    many reports don't meet each other.
+    """
     known = recs.select("uid", "name_part", "sex", "id_hash").distinct().where("id_hash is not null")
-    a, b = _sides(known, ["id_hash"])
-    differ = ~(F.col("name_part_a").eqNullSafe(F.col("name_part_b")) & F.col("sex_a").eqNullSafe(F.col("sex_b")))
-    got = a.join(b, "id_hash").where((F.col("uid_a") < F.col("uid_b")) & differ)
-    return got.select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b"), F.lit("same_id_no_different_identity").alias("reason"))
+    named = lambda c: F.coalesce(F.col(c), F.lit("\0"))
+    known = known.select("uid", "id_hash", F.concat_ws("\x1f", named("name_part"), named("sex")).alias("who"))
+    a, b = _sides(known.select("id_hash", "who").distinct(), ["id_hash"])
+    pairs = a.join(b, "id_hash").where("who_a < who_b")
+    side = lambda s: known.select("id_hash", F.col("who").alias(f"who_{s}"), F.col("uid").alias(f"u_{s}"))
+    got = pairs.join(side("a"), ["id_hash", "who_a"]).join(side("b"), ["id_hash", "who_b"]).where("u_a <> u_b")
+    return got.select(F.least("u_a", "u_b").alias("a"), F.greatest("u_a", "u_b").alias("b"), F.lit("same_id_no_different_identity").alias("reason")).distinct()
 
 
 def similar_names(recs: DataFrame) -> DataFrame:

@@ -393,9 +393,17 @@ def _checked(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("qa_status", qa.status(F.col("decision"), F.col("issues")))
 
 
-@query(O.chain("qa", "select uid, report_id, qa_status, array_to_string(issues, ';') as issues from checked"))
+@query(O.chain("qa", "select uid, report_id, case when len(mine) > 0 then 'failed' else 'passed' end as qa_status, array_to_string(mine, ';') as issues from (select *, list_filter(issues, lambda x: x <> 'linkage_pending_review') as mine from checked)"))
 def qa_issues(spark: SparkSession, d: str) -> DataFrame:
-    return _checked(spark, d).select("uid", "report_id", "qa_status", F.array_join("issues", ";").alias("issues"))
+    """The checks of each record where linkage under review doesn't hold records back, before anyone overrides them."""
+    rows = qa.record_issues(_staged(spark, d).withColumn("pending", F.lit(False)), _others(spark, d))
+    return rows.select("uid", "report_id", qa.status(F.lit(None).cast("string"), F.col("issues")).alias("qa_status"), F.array_join("issues", ";").alias("issues"))
+
+
+@query(O.chain("qa", "select uid, report_id, decision, qa_status, array_to_string(issues, ';') as issues from checked"))
+def qa_status(spark: SparkSession, d: str) -> DataFrame:
+    """The gate: records under linkage review are held back, and a reviewer's overrides count."""
+    return _checked(spark, d).select("uid", "report_id", "decision", "qa_status", F.array_join("issues", ";").alias("issues"))
 
 
 @query(O.chain("qa", "select issue, count(*) as n from (select split_part(unnest(issues), ':', 1) as issue from checked) group by issue"))
