@@ -154,9 +154,6 @@ def windows(docs: DataFrame) -> DataFrame:
     """(report_id, field, word, l2, l, r, r2) of every word with its neighbours; ^ and $ beyond the ends."""
     at = lambda k, e: F.coalesce(F.get("toks", k), F.lit(e))
     spots = F.transform("toks", lambda t, i: F.struct(t.alias("word"), at(i - 2, "^").alias("l2"), at(i - 1, "^").alias("l"), at(i + 1, "$").alias("r"), at(i + 2, "$").alias("r2")))
-    # arrays start again before their first element, so its neighbours are taken apart
-    first = lambda i, c, k: F.when(i < k, F.lit("^")).otherwise(c)
-    spots = F.transform(spots, lambda s, i: F.struct(s["word"].alias("word"), first(i, s["l2"], 2).alias("l2"), first(i, s["l"], 1).alias("l"), s["r"].alias("r"), s["r2"].alias("r2")))
     return docs.select("report_id", "field", F.explode(F.filter(spots, lambda s: F.length(s["word"]) >= 3)).alias("s")).select("report_id", "field", "s.*")
 
 
