@@ -63,30 +63,51 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encoded(table(spark, d, "documents"))
 
 
-@query()
+WORDS = "string_split(trim(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', ' ', 'g')), ' ')"
+
+
+def _linked(words: int, threshold: float) -> str:
+    """d(id, cls): reports of 20 words or more with the smallest report of the same words; linked(x, y): classes alike, both ways."""
+    text = "coalesce(technique, '') || ' ' || coalesce(findings, '')"
+    gram = ", ".join(f"w[i + {k}]" for k in range(words))
+    return f"""t as (select distinct report_id as id, {WORDS.format(text)} as w from reports where report_id is not null),
+    d as (select id, min(id) over (partition by w) as cls, w from t where len(w) >= 20),
+    g as (select distinct cls, [{gram}] as h from (select cls, w, unnest(range(1, len(w) - {words - 2})) as i from d where id = cls)),
+    n as (select cls, count(*) as n from g group by cls),
+    met as (select a.cls as x, b.cls as y, count(*) as shared from g a join g b on a.h = b.h and a.cls < b.cls group by 1, 2),
+    one as (select x, y from met join n a on a.cls = x join n b on b.cls = y where shared >= {threshold} * (a.n + b.n - shared)),
+    linked as (select x, y from one union all select y, x from one)"""
+
+
+@query(
+    f"""with {_linked(3, 0.5)}, p as (select id as x, cls as y from d union select d.id, linked.y from d join linked on linked.x = d.cls)
+    select distinct least(x, y) as report_a, greatest(x, y) as report_b from p where x <> y"""
+)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return oddsketch.found(table(spark, d, "reports"))
 
 
-@query()
+@query(
+    f"""with recursive {_linked(5, 0.8)}, reach(cls, hop) as (select distinct cls, cls from d union select reach.cls, linked.y from reach join linked on linked.x = reach.hop),
+    k as (select cls, min(hop) as group_id from reach group by cls), m as (select x as cls, count(*) as n_links from linked group by x)
+    select distinct id as report_id, group_id, coalesce(n_links, 0) as n_links from d join k using (cls) left join m using (cls)"""
+)
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return oddsketch.grouped(table(spark, d, "reports"))
 
 
-WORDS = "string_split(trim(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', ' ', 'g')), ' ')"
-
-
-@query(
-    f"""with d as (select doc_id, {WORDS.format("text")} as w from documents), i as (select item_id, {WORDS.format("item_text")} as w from eval_items),
+LEAKS = f"""with d as (select doc_id, {WORDS.format("text")} as w from documents), i as (select item_id, {WORDS.format("item_text")} as w from eval_items),
     dw as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) as g from d where len(w) >= 10),
     iw as (select distinct item_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) as g from i where len(w) >= 10)
     select distinct doc_id, item_id from dw join iw using (g)"""
-)
+
+
+@query(LEAKS)
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-@query()
+@query(f"select item_id, count(distinct doc_id) as n_docs from ({LEAKS}) group by item_id")
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.by_item(p9_found(spark, d))
 
