@@ -13,11 +13,13 @@ HOT_SHARE = 1 / 200
 HOT_ROWS = 100_000
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> list:
+def hot_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> list:
     """The keys that hold HOT_SHARE of the rows or more: at most 1 / HOT_SHARE rows reach the driver.
 
-    The counts are aggregated before the shuffle.
+    The counts are aggregated before the shuffle. ``rows``: how many df has at most, where that is known.
     """
+    if rows is not None and rows < HOT_ROWS:
+        return []
     return hot_of(df.groupBy(*keys).agg(F.count("*").alias("__n")), keys, "__n")
 
 
