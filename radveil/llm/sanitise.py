@@ -129,9 +129,11 @@ def tokens(rest: Column) -> Column:
     return F.regexp_extract_all(F.lower(bare), F.lit("(?U)" + TOKEN), F.lit(0))
 
 
-def small_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """left join right, a written table with each key once: broadcast if it has BROADCAST_ROWS or fewer, else with hot keys split."""
-    return left.join(F.broadcast(right), keys, how) if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lookup(left, right, keys, how)
+def small_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
+    """left join right, a written table or a part of one, with each key once: broadcast if it has BROADCAST_ROWS or fewer, else with hot
+    keys split. ``rows``: how many right has at most, where that is known."""
+    rows = right.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
+    return left.join(F.broadcast(right), keys, how) if rows <= BROADCAST_ROWS else lookup(left, right, keys, how)
 
 
 def is_word(c: Column) -> Column:
@@ -176,13 +178,13 @@ def context_totals(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return small_join(docs.select(F.explode(runs).alias("ctx")), wanted, ["ctx"], "left_semi").groupBy("ctx").agg(F.count("*").alias("n"))
 
 
-def told_contexts(docs: DataFrame, protected: DataFrame, stage: Stage) -> tuple[DataFrame, float]:
+def told_contexts(docs: DataFrame, protected: DataFrame, n_protected: int, stage: Stage) -> tuple[DataFrame, float]:
     """((kind, ctx, gain), base rate): the log-odds by which a neighbourhood speaks for a name.
 
     A context tells by how often protected words stand in it among all tokens of the corpus that do. Contexts that
     protected words were seen in less than twice tell nothing, nor do protected words as contexts.
     """
-    occ = stage.write(small_join(windows(docs), protected, ["word"]))
+    occ = stage.write(small_join(windows(docs), protected, ["word"], rows=n_protected))
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), context(k).alias("ctx"), F.col(k[0].lower()).alias("next")) for k in CONTEXTS)))
     seen = occ.select(each.alias("c")).select("c.*").where("ctx is not null").groupBy("kind", "ctx", "next").agg(F.count("*").alias("k")).where(F.col("k") >= 2)
     told = stage.write(seen.join(protected.select(F.col("word").alias("next")), "next", "left_anti").select("kind", "ctx", "k"))
@@ -201,19 +203,21 @@ def judged(docs: DataFrame, words: DataFrame, stage: Stage) -> tuple[DataFrame,
     base rate and needn't be listed for a word's mean. Protected words score 1.
     """
     protected = stage.write(words.where(F.col("bits") >= BITS).select("word"))
-    known, p0 = told_contexts(docs, protected, stage)
+    n_protected = protected.count()
+    known, p0 = told_contexts(docs, protected, n_protected, stage)
+    n_known = known.count()
     got = windows(docs).where(is_word(F.col("word"))).withColumns({k: context(k) for k in CONTEXTS})
     for k in CONTEXTS:
         # the hash of a context says of which kind it is but for the side
-        mine = stage.write(known.where(F.col("kind") == k).select(F.col("ctx").alias(k), F.col("gain").alias(f"g{k}")))
-        got = small_join(got, mine, [k], "left")
+        mine = known.where(F.col("kind") == k).select(F.col("ctx").alias(k), F.col("gain").alias(f"g{k}"))
+        got = small_join(got, mine, [k], "left", n_known)
     side = lambda s: F.coalesce(F.greatest(f"g{s}1", f"g{s}2"), F.lit(0.0))
     odds = F.lit(p0 / (1 - p0)) * F.exp(side("L") + side("R"))
     spoken = F.coalesce(*(f"g{k}" for k in CONTEXTS)).isNotNull()
-    near = stage.write(small_join(got.where(spoken), protected, ["word"], "left_anti").select("report_id", "field", "word", "l", "r", (odds / (1 + odds)).alias("p")))
+    near = stage.write(small_join(got.where(spoken), protected, ["word"], "left_anti", n_protected).select("report_id", "field", "word", "l", "r", (odds / (1 + odds)).alias("p")))
     sums = near.groupBy("word").agg(F.sum("p").alias("s"), F.count("*").alias("k"))
     mean = (F.col("s") + (F.col("n") - F.col("k")) * p0) / F.col("n")
-    scored = stage.write(sums.join(words, "word").select("word", mean.alias("score")).where(F.col("score") >= SURE_MEAN))
+    scored = sums.join(words, "word").select("word", mean.alias("score")).where(F.col("score") >= SURE_MEAN)
     return near, stage.write(protected.withColumn("score", F.lit(1.0)).unionByName(scored))
 
 
@@ -243,9 +247,8 @@ def found(reports: DataFrame, identity: DataFrame) -> DataFrame:
     texts of one report and field count together. Empty tables give no rows.
     """
     docs, near, scored, nothing, _ = analysed(reports, identity)
-    stage = Stage(reports.sparkSession, "found")
     each = docs.select("report_id", "field", F.explode(F.array_distinct("toks")).alias("word"))
-    spots = small_join(each, stage.write(disclosing(scored)), ["word"], "left_semi").unionByName(sure(near, scored).select("report_id", "field", "word"))
+    spots = small_join(each, disclosing(scored), ["word"], "left_semi").unionByName(sure(near, scored).select("report_id", "field", "word"))
     named = spots.select("report_id", "field", F.lit("person_name").alias("kind"))
     return docs.where(F.size("items") > 0).select("report_id", "field", F.explode(disclosing_kinds(nothing)).alias("kind")).unionByName(named).distinct()
 

@@ -149,7 +149,8 @@ def flagged(docs: DataFrame) -> DataFrame:
     limits = stage.write(significant(hazards(docs)).select("source", "unit", "n"))
     open_ = stage.write(pieces(docs).where("not ended").select("doc_id", "source", F.coalesce("source", F.lit("")).alias("from"), F.col("starts.one").alias("one"), F.col("starts.two").alias("two"), F.col("starts.whole").alias("whole"), F.col("starts.tokens").alias("tokens"), "own_line", F.col("last").rlike(UNCLOSED).alias("unclosed"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes")))
     level = lambda k, name: stats.where(F.col("level") == k).select(F.col("key").alias(name), F.col("n").alias(f"n{k}"), F.col("terminated").alias(f"t{k}"))
-    hot = {c: hot_keys(open_.where(F.col(c).isNotNull()), [c]) for c in ("one", "two", "whole")}
+    rows = open_.count()
+    hot = {c: hot_keys(open_.where(F.col(c).isNotNull()), [c], rows) for c in ("one", "two", "whole")}
     got = open_
     for k, name in ((2, "two"), (1, "one"), (3, "whole")):
         got = lookup(got, level(k, name), [name], "left", hot[name])
@@ -169,7 +170,7 @@ def flagged(docs: DataFrame) -> DataFrame:
     got = got.withColumn("formula", F.col("own_line") & F.coalesce(formula, F.lit(False)))
     for unit in ("chars", "bytes"):
         at = limits.where(F.col("unit") == unit).select(F.col("source").alias("from"), F.col("n").alias(unit), F.lit(True).alias(f"at_{unit}"))
-        got = lookup(got, at, ["from", unit], "left", hot_keys(open_, ["from", unit]))
+        got = lookup(got, at, ["from", unit], "left", hot_keys(open_, ["from", unit], rows))
     got = got.withColumn("at_limit", F.coalesce("at_chars", "at_bytes", F.lit(False)))
     cut = F.when(F.col("at_limit"), F.coalesce(F.col("share") >= WEAK, F.lit(True))).otherwise(F.coalesce(F.col("share") >= STRONG, F.lit(False))) & ~F.col("formula")
     return got.where(cut).select("doc_id", "source", "at_limit", "share")
