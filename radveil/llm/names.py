@@ -1,10 +1,12 @@
 """Variant spellings of typed names, linked into persons.
 
 Names become folded parts (honorifics and added parts off, nicknames as their given names, sounds and look-alike
-digits as one letter) and sparse vectors of weighted character 3-grams. A distributed cosine join finds all pairs over the
-threshold: two names of one person are similar in two parts, and by the prefix filter two parts that similar share one of
-their rarest grams; so names are joined on a gram of one part with a gram of another, within sex and nearby birth
-years. Either gram alone is common, both together are rare, so the join grows with the matches, not with the square of the names.
+digits as one letter) and sparse vectors of weighted character 3-grams. A distributed join finds all pairs over the thresholds of
+cosine and similarity that pass the check of spelling, within sex and nearby birth years; it is lossless, for it is blocked by what that check
+needs. Distinct parts are compared first, by what is left of them without a letter or two; then names of as many parts meet on
+two parts at a time, one as it stands and one as any spelling near it: either alone is common, both together are rare, so the join
+grows with the matches, not with the square of the names. Names with parts split or run together meet on their letters in order, all or
+all but one.
 
 A name's family part weighs most in such a vector and is shared by many, so the similarity of two names is that of their
 least similar parts: the least cosine of paired parts, in vectors of 2-grams, which a typo changes least. From SIMILAR on, a pair
@@ -28,11 +30,12 @@ from ..session import Stage
 
 COSINE = 0.3  # least cosine of two names in the join
 NICKNAMES = 100_000  # rows; a larger table is an error, for it is sent to every executor
-PART = 0.33  # least cosine of each of two parts of them
+PART = 0.33  # cosine of parts up from which tests hold the join to all pairs; the join itself needs no such bound
 SIMILAR = 0.55  # least similarity of two names, that of their least similar parts
 AVERAGE = 0.35  # least average similarity at which clusters merge
 COMMON, COMMON_LEAST = 4, 10  # a part that so many times as many names have as the name's other parts is a family name
 YEARS = 2  # most years between birth years of one person
+LONG = 24  # letters of a part up to which spellings two edits away are found by leaving out letters; beyond, by pieces
 RARE_CAP = 1000  # a gram counts as no rarer than one name in so many, so that a typo's grams don't outweigh the name
 
 #: Honorifics and added parts, which may be there or not.
@@ -109,27 +112,6 @@ def vectors(canons: DataFrame, weights: DataFrame) -> DataFrame:
     return weighted(canons, "canon", weights).select("canon", F.map_from_entries("g").alias("w"))
 
 
-def prefixes(canons: DataFrame, weights: DataFrame) -> DataFrame:
-    """(part, prefix): the rarest grams of each distinct part, up to where the rest is too short a vector to reach PART by itself."""
-    parts = canons.select(F.explode(F.split("canon", " ")).alias("part")).distinct()
-    left = lambda i: F.aggregate(F.slice("g", i + 1, F.size("g")), F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
-    return weighted(parts, "part", weights).select("part", F.filter(F.transform("g", lambda x, i: F.when(left(i) >= PART * PART - 1e-9, x["gram"])), lambda x: x.isNotNull()).alias("prefix"))
-
-
-def join_keys(canons: DataFrame, weights: DataFrame) -> DataFrame:
-    """(canon, key): hashes of every pair of prefix grams from two parts; of names of one or two parts also the parts run together."""
-    parts = F.split("canon", " ")
-    pairs = F.flatten(F.transform(parts, lambda p, i: F.transform(F.slice(parts, i + 2, F.size(parts)), lambda q: F.struct(p.alias("p"), q.alias("q")))))
-    known = prefixes(canons, weights)
-    two = canons.select("canon", F.explode(pairs).alias("x")).select("canon", "x.p", "x.q")
-    for c in "pq":
-        two = two.join(known.select(F.col("part").alias(c), F.col("prefix").alias(f"g{c}")), c)
-    cross = F.flatten(F.transform("gp", lambda g: F.transform("gq", lambda h: F.xxhash64(F.least(g, h), F.greatest(g, h)))))
-    whole = F.when(F.size(parts) == 1, F.array(F.col("canon"))).when(F.size(parts) == 2, F.array(F.concat(parts[0], parts[1]), F.concat(parts[1], parts[0])))
-    run = canons.select("canon", F.explode(whole).alias("t")).select("canon", F.xxhash64(F.lit("="), F.col("t")).alias("key"))
-    return two.select("canon", F.explode(F.array_distinct(cross)).alias("key")).unionByName(run).distinct()
-
-
 @lru_cache(maxsize=200_000)
 def edits(a: str, b: str) -> int:
     """Edits with neighbouring letters swapped as one."""
@@ -172,7 +154,7 @@ def same_name(a: str, b: str, common: frozenset[str] = frozenset()) -> bool:
             free.remove(hit)
         else:
             return True
-    if len(x) == len(y) == 2:
+    if len(x) == len(y) <= 2:
         return False
     # parts split or run together: some order of one side's parts spells the other's
     return spells(tuple(sorted(x)), tuple(sorted(y)))
@@ -259,18 +241,114 @@ def common_parts(canons: DataFrame) -> DataFrame:
     return ranked.select("canon", F.when(is_common, F.array(first["part"])).otherwise(F.array().cast("array<string>")).alias("common"))
 
 
+def cuts(part: str, n: int) -> set[str]:
+    """Texts of which two parts at most n edits apart (swaps are one) share at least one.
+
+    Of a short part what is left without up to n letters. A long one has too many of these; n edits touch at most 2n of its 2n + 1
+    pieces, so one piece stands in the other part too, at most n letters off.
+    """
+    out: set[str] = set()
+    if len(part) <= LONG + n:
+        front = {part}
+        out |= front
+        for _ in range(n):
+            front = {t[:i] + t[i + 1 :] for t in front for i in range(len(t))}
+            out |= front
+    if len(part) > LONG:
+        m = 2 * n + 1
+        for size in range(len(part) - n, len(part) + n + 1):
+            for k in range(m):
+                a, b = k * size // m, (k + 1) * size // m
+                out |= {f"{size} {k} {part[a + d : b + d]}" for d in range(-n, n + 1) if a + d >= 0}
+    return out
+
+
+def cuts_of(n: int | None = None):
+    """Column function: the cuts of a part for n edits, or as many as it is allowed."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def f(parts: pd.Series) -> pd.Series:
+        return pd.Series([sorted(cuts(p, allowed(len(p)) if n is None else n)) for p in parts], dtype="object")
+
+    return f
+
+
+def alike(least: int):
+    """Column function: are two parts at most as many edits apart as they are allowed, or ``least`` if that is more."""
+
+    @F.pandas_udf(T.BooleanType())
+    def f(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([edits(x, y) <= max(least, allowed(min(len(x), len(y)))) for x, y in zip(a, b)], dtype="bool")
+
+    return f
+
+
+def near_spellings(canons: DataFrame, common: DataFrame, stage: Stage) -> DataFrame:
+    """(part, near): every two parts of names that same_name() may take for one another, and each with itself. common: of common_parts()."""
+    parts = stage.write(padded(canons).select(F.explode("parts").alias("part")).distinct())
+    keyed = lambda df, n: df.select("part", F.explode(cuts_of(n)("part")).alias("cut")).select("part", F.xxhash64("cut").alias("cut"))
+    met = lambda a, b: a.join(b.withColumnRenamed("part", "near"), "cut").where("part <> near").select("part", "near").distinct()
+    each = keyed(parts.where(F.length("part") >= 4), None)
+    by_length = met(each, each).where(alike(0)("part", "near"))
+    # beside a common part two edits are allowed from 6 letters on; from 9 on they are anyway
+    between = F.length("part").between(6, 10)
+    known = keyed(common.select(F.explode("common").alias("part")).distinct().where(between), 2)
+    by_common = met(known, keyed(parts.where(between), 2)).where((F.least(F.length("part"), F.length("near")) >= 6) & alike(2)("part", "near"))
+    both = by_common.unionByName(by_common.select(F.col("near").alias("part"), F.col("part").alias("near")))
+    return stage.write(by_length.unionByName(both).unionByName(parts.select("part", F.col("part").alias("near"))).distinct())
+
+
+def padded(canons: DataFrame) -> DataFrame:
+    """(canon, k, parts): k parts; a name of one part gets an empty second one."""
+    parts = F.split("canon", " ")
+    return canons.select("canon", F.size(parts).alias("k"), F.when(F.size(parts) == 1, F.concat(parts, F.array(F.lit("")))).otherwise(parts).alias("parts"))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _letters(canons: pd.Series) -> pd.Series:
+    """The letters of names in order, all and all but one: names whose letters in any order are at most one edit apart share one."""
+
+    def some(canon: str) -> list[str]:
+        t = "".join(sorted(canon.replace(" ", "")))
+        return [t, *sorted({t[:i] + t[i + 1 :] for i in range(len(t)) if not i or t[i] != t[i - 1]})]
+
+    return pd.Series([some(c) for c in canons], dtype="object")
+
+
+def join_keys(canons: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables (canon, key): any two names that same_name() takes for one share a key, one of them in the first table, the other in the second.
+
+    Of names with as many parts every part of one is near a part of the other: the two rarest parts of one name, the first in all spellings
+    near it, meet two parts of the other, the second in all spellings near it. Names with parts split or run together, which
+    aren't both of one or of two parts, have the same letters but for one edit.
+    """
+    names = padded(canons)
+    key = lambda a, b: F.xxhash64("k", a, b).alias("key")
+    near_to = lambda c: near.select(F.col("part").alias(c), F.col("near").alias(f"{c}_near"))
+    each = names.select("canon", "k", F.explode("parts").alias("part"))
+    often = each.groupBy("part").agg(F.count("*").alias("n"))
+    rarest = each.join(often, "part").groupBy("canon", "k").agg(F.array_sort(F.collect_list(F.struct("n", "part"))).alias("p"))
+    first = rarest.select("canon", "k", F.get("p", 0)["part"].alias("p"), F.get("p", 1)["part"].alias("q")).join(near_to("p"), "p").select("canon", key("p_near", "q"))
+    ordered = F.flatten(F.transform("parts", lambda p, i: F.transform(F.filter("parts", lambda q, j: j != i), lambda q: F.struct(p.alias("p"), q.alias("q")))))
+    second = names.select("canon", "k", F.explode(ordered).alias("x")).select("canon", "k", "x.p", "x.q").join(near_to("q"), "q").select("canon", key("p", "q_near"))
+    letters = names.select("canon", "k", F.explode(_letters("canon")).alias("t")).select("canon", "k", F.xxhash64(F.lit("="), "t").alias("key"))
+    return tuple(a.unionByName(letters.where(which).select("canon", "key")).distinct() for a, which in ((first, "k <> 2"), (second, "k > 1")))
+
+
 def similar_names(vertices: DataFrame, stage: Stage) -> DataFrame:
     """(canon_a, canon_b, sim), canon_a < canon_b, of all pairs with cosine COSINE or more that occur with one sex and near birth years,
     have a similarity of SIMILAR or more and pass the check of spelling; others have 0."""
     canons = stage.write(vertices.select("canon").distinct())
     weights = stage.write(gram_weights(canons))
     vec = stage.write(vectors(canons, weights))
-    keyed = vertices.select("canon", "sex", "birth_year").distinct().join(join_keys(canons, weights), "canon")
+    shared = stage.write(common_parts(canons))
+    first, second = join_keys(canons, near_spellings(canons, shared, stage))
+    spots = vertices.select("canon", "sex", "birth_year").distinct()
     # sex and year go into the key; names travel as hashes, for a false meeting is dropped by the cosine
-    at = lambda year: F.xxhash64("key", "sex", year)
-    keyed = stage.write(keyed.select("key", "sex", "birth_year", F.xxhash64("canon").alias("h")))
-    l = keyed.select(at(F.col("birth_year")).alias("k"), F.col("h").alias("x"))
-    r = keyed.select("key", "sex", F.explode(F.sequence(F.col("birth_year") - YEARS, F.col("birth_year"))).alias("y"), "h").select(at(F.col("y")).alias("k"), F.col("h").alias("y"))
+    at = lambda df, year, h: df.select(F.xxhash64("key", "sex", year).alias("k"), F.xxhash64("canon").alias(h))
+    near_years = F.explode(F.sequence(F.col("birth_year") - YEARS, F.col("birth_year") + YEARS))
+    l = at(spots.select("canon", "sex", near_years.alias("year")).join(first, "canon"), "year", "x")
+    r = at(spots.join(second, "canon"), "birth_year", "y")
     pairs = l.join(r, "k").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     side = lambda s, h: vec.select(F.xxhash64("canon").alias(h), F.col("canon").alias(f"c{s}"), F.col("w").alias(f"w{s}"))
     met = pairs.join(side("a", "x"), "x").join(side("b", "y"), "y")
@@ -278,7 +356,6 @@ def similar_names(vertices: DataFrame, stage: Stage) -> DataFrame:
     met = met.select(F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("canon_a"), F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("canon_b"), "wa", "wb")
     cosine = F.aggregate(F.map_entries("wa"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at("wb", e["key"]), F.lit(0.0)))
     near = met.select("canon_a", "canon_b", cosine.alias("cosine")).where(F.col("cosine") >= COSINE)
-    shared = stage.write(common_parts(canons))
     for s in "ab":
         near = near.join(shared.select(F.col("canon").alias(f"canon_{s}"), F.col("common").alias(f"common_{s}")), f"canon_{s}")
     return stage.write(near.select("canon_a", "canon_b", similarity_from(SIMILAR)("canon_a", "canon_b", "common_a", "common_b").alias("sim")).where("sim is not null"))

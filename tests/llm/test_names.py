@@ -147,3 +147,40 @@ def test_cosine_and_linkage_both_decide(spark, monkeypatch):
     with pytest.raises(ValueError):
         monkeypatch.setattr(N, "NICKNAMES", 3)
         N.folded(reports.selectExpr("patient_name as name"), nicknames)
+
+
+def test_join_leaves_out_no_pair(spark):
+    """All pairs over both thresholds that pass the check of spelling, whatever a typo leaves of a part's grams or however parts are split."""
+    rng = random.Random(3)
+    syl = [c + v for c in "bdgklmnrst" for v in "aiu"]
+    word = lambda n: "".join(rng.choice(syl) for _ in range(n))
+
+    def typo(t):
+        k = rng.randrange(len(t) - 1)
+        return rng.choice([t[:k] + t[k + 1] + t[k] + t[k + 2 :], t[:k] + t[k + 1 :], t[:k] + "z" + t[k:], t[:k] + "z" + t[k + 1 :]])
+
+    families = [word(4) for _ in range(3)]
+    names = [[word(rng.choice([2, 3, 4, 15])), rng.choice(families), word(3)][: 1 + k % 3] for k in range(90)]
+    for parts in [*names]:
+        names += [[typo(p) for p in parts], [typo("".join(parts))], [typo(parts[0]), *parts[1:]], [parts[0][:3], parts[0][3:] or "ka", *parts[1:-1], typo(parts[-1])]]
+    canon = sorted({" ".join(sorted(p)) for p in names} | {"hanisin nazurigil", "hnaisin nazurigil"})
+    v = spark.createDataFrame([(c, "F", 1980 + 2 * (i % 2)) for i, c in enumerate(canon)], "canon string, sex string, birth_year int")
+    w = {r.canon: r.w for r in N.vectors(v.select("canon"), N.gram_weights(v.select("canon"))).collect()}
+    common = {r.canon: frozenset(r.common) for r in N.common_parts(v.select("canon")).collect()}
+    over = lambda a, b: N.name_similarity(a, b) >= N.SIMILAR and sum(x * w[b].get(g, 0) for g, x in w[a].items()) >= N.COSINE
+    want = {(a, b) for i, a in enumerate(canon) for b in canon[i + 1 :] if over(a, b) and N.same_name(a, b, common[a] | common[b])}
+    sizes = {tuple(sorted(len(x.split()) for x in pair)) for pair in want}
+    assert {(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3), (3, 4)} <= sizes and ("hanisin nazurigil", "hnaisin nazurigil") in want
+    assert {(r.canon_a, r.canon_b) for r in N.similar_names(v, Stage(spark, "t")).collect()} == want
+
+
+def test_cuts_of_near_parts_meet():
+    rng = random.Random(4)
+    for size in [*range(4, 40)] * 20:
+        a = b = "".join(rng.choice("abcd") for _ in range(size))
+        for _ in range(2):
+            k = rng.randrange(len(b) - 1)
+            b = rng.choice([b[:k] + b[k + 1] + b[k] + b[k + 2 :], b[:k] + b[k + 1 :], b[:k] + "x" + b[k:], b[:k] + "x" + b[k + 1 :]])
+        if N.edits(a, b) <= 2:
+            assert N.cuts(a, 2) & N.cuts(b, 2), (a, b)
+    assert len(N.cuts("".join(map(chr, range(0x4E00, 0x4E00 + 5000))), 2)) < 130
