@@ -1,10 +1,9 @@
 """Template residue, filler, error pages and viewer notices in report sections.
 
-Sections are cut into segments; a segment's shape is the segment without its label ('Comment: '), digits as 0. Residue is
-boilerplate and recurs, so trusted labels are given to a bounded sample, the shapes in TRUSTED reports: fixed forms of
-residue stand for the person who would look through these. All other reports get their labels by likeness: shapes equal to a
-labelled one, and its near-duplicates, found with SimHash tables partitioned by size and bit block, each probed with the
-keys near its own, verified by Hamming distance and text similarity. Labels spread from trusted shapes through the
+Sections are cut into segments; a segment's shape is the segment without its label ('Comment: '), digits as 0. Fixed forms of
+residue, which stand for a person who would look through the reports, give trusted labels to the distinct shapes of all reports. What
+no form fits gets its label by likeness: near-duplicates of a labelled shape, found with SimHash tables partitioned by size and bit block, each
+probed with the keys near its own, verified by Hamming distance and text similarity. Labels spread from trusted shapes through the
 connected components until nothing new is reached. What made a shape residue must be found in its near-duplicate again: a template's
 sentence with its blanks filled in is none. A section is hit if it holds a labelled shape.
 """
@@ -23,7 +22,6 @@ from pyspark.sql import types as T
 from ..session import Stage
 from .sanitise import small_join
 
-TRUSTED = 30_000  # reports, those first in order of their hash, whose shapes get a label by the forms: the bound of the labelled sample
 HAMMING = 3  # bits by which a table's key may differ
 TABLES = 4  # of 16 bits
 RADIUS = TABLES * (HAMMING + 1) - 1  # segments this near have a table in which their keys are HAMMING bits apart or less
@@ -249,18 +247,20 @@ def near_hashes(tables: DataFrame, front: DataFrame) -> DataFrame:
     return tables.join(probe.hint("merge"), ["size", "t", "key"]).where(F.bit_count(F.col("h").bitwiseXOR(F.col("g"))) <= RADIUS).select("h", "g").distinct()
 
 
-def trusted_shapes(segs: DataFrame, most: int) -> DataFrame:
-    """(shape, why) of the residue in the sample of ``most`` reports; why: the grams that made it residue. segs: (uid, shape)."""
-    few = segs.select("uid").distinct().orderBy(F.xxhash64("uid"), "uid").limit(most)
-    sample = segs.join(F.broadcast(few), "uid", "left_semi").select("shape").distinct()
+def trusted_shapes(segs: DataFrame, most: int | None = None) -> DataFrame:
+    """(shape, why) of the residue that a form fits; why: the grams that made it residue. segs: (shape), with uid if only a sample of ``most``
+    reports is to be labelled, by which one can see how far labels spread."""
+    if most is not None:
+        few = segs.select("uid").distinct().orderBy(F.xxhash64("uid"), "uid").limit(most)
+        segs = segs.join(F.broadcast(few), "uid", "left_semi")
     is_residue, rest = trusted(F.col("shape"))
-    return sample.where(is_residue).select("shape", evidence("shape", rest).alias("why"))
+    return segs.select("shape").where(is_residue).distinct().select("shape", evidence("shape", rest).alias("why"))
 
 
-def labelled_shapes(segs: DataFrame, stage: Stage, most: int = TRUSTED) -> DataFrame:
-    """(shape, hops) of residue: trusted shapes (0 hops) and what near-duplication connects with them. segs: (uid, shape)."""
+def labelled_shapes(segs: DataFrame, stage: Stage, most: int | None = None) -> DataFrame:
+    """(shape, hops) of residue: trusted shapes (0 hops) and what near-duplication connects with them. segs: (uid, shape); most: see trusted_shapes."""
     every = stage.write(segs.select("shape").distinct().select("shape", simhash("shape").alias("s")).select("shape", "s.*"))
-    seeds = stage.write(trusted_shapes(segs, most).join(every, "shape"))
+    seeds = stage.write(trusted_shapes(every if most is None else segs, most).join(every, "shape"))
     labelled = stage.write(seeds.select("shape", F.lit(0).alias("hops")))
     tables = every.select("h", "size").distinct().select("h", "size", F.explode(_keys("h")).alias("k")).select("h", "size", "k.t", "k.key")
     front, hops = seeds.where("size(why) > 0"), 0
