@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import secrets
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed import SIMILAR_NAME
-from ..functions.similarity import jaro_winkler_from
+from ..functions.similarity import similar_in
 from ..session import Stage
 from .components import connected_components
 
@@ -75,26 +76,36 @@ def same_id_pairs(recs: DataFrame) -> DataFrame:
     return got.select(F.least("u_a", "u_b").alias("a"), F.greatest("u_a", "u_b").alias("b"), F.lit("same_id_no_different_identity").alias("reason")).distinct()
 
 
+#: Values of a block that one task compares with each other or with as many others.
+CELL = 4000
+SIMILAR = "sex string, name_part_a string, name_norm_a string, name_part_b string, name_norm_b string, score double"
+
+
+def _similar_in_cell(cell: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one cell: of its values with each other, or of those of one part with those of the other."""
+    cell = cell.sort_values(["name_norm", "name_part"], ignore_index=True)
+    norm, part = cell["name_norm"].to_numpy(dtype=object), cell["name_part"].to_numpy(dtype=object)
+    rows = np.flatnonzero(cell["part"] == cell["i"])
+    others = rows if cell["i"].iloc[0] == cell["j"].iloc[0] else np.flatnonzero(cell["part"] == cell["j"])
+    a, b, score = similar_in(list(norm), rows, others, SIMILAR_NAME)
+    differ = part[a] != part[b]
+    a, b = a[differ], b[differ]
+    return pd.DataFrame({"sex": cell["sex"].iloc[0], "name_part_a": part[a], "name_norm_a": norm[a], "name_part_b": part[b], "name_norm_b": norm[b], "score": score[differ]})
+
+
 def similar_names(recs: DataFrame) -> DataFrame:
     """Pairs of distinct name values (name_part, name_norm) of one sex and first letter at or over the threshold.
 
-    Distinct values only are compared. Lossless pruning before the comparison: with length ratio r and
-    common prefix p the score is at most s + 0.1 p (1 - s), s = (2 + r) / 3. Blocks are spread by length band,
-    so that one hot letter isn't one partition.
+    Distinct values only are compared. The values of a block are dealt into parts of about CELL, and each pair of parts is a cell
+    of its own, so that one hot letter isn't one task. In a cell all pairs are looked at, by the letters that they lack, as bits.
     """
-    values = recs.select("sex", "name_part", "name_norm").where("name_norm <> ''").distinct()
-    values = values.withColumns({"first": F.substring("name_norm", 1, 1), "n": F.length("name_norm")})
-    # r >= 0.6 for any pair over the threshold: lengths lie within a factor, so each length meets the bands around it
-    band = lambda c: F.floor(F.log2(c.cast("double")) / F.log2(F.lit(1 / 0.6)))
-    a, b = _sides(values.withColumn("band", band(F.col("n"))), ["sex", "first", "band"])
-    a = a.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    shared = sum((F.substring("name_norm_a", 1, k) == F.substring("name_norm_b", 1, k)).cast("int") for k in range(1, 5))
-    ratio = F.least("n_a", "n_b") / F.greatest("n_a", "n_b")
-    most = (2 + ratio) / 3
-    bound = most + 0.1 * shared * (1 - most)
-    pairs = a.join(b, ["sex", "first", "band"]).where((F.col("name_part_a") != F.col("name_part_b")) & ((F.col("name_norm_a") < F.col("name_norm_b")) | ((F.col("name_norm_a") == F.col("name_norm_b")) & (F.col("name_part_a") < F.col("name_part_b")))) & (bound >= SIMILAR_NAME - 1e-9))
-    scored = pairs.withColumn("score", jaro_winkler_from(SIMILAR_NAME)("name_norm_a", "name_norm_b"))
-    return scored.where(F.col("score").isNotNull()).select("sex", "name_part_a", "name_norm_a", "name_part_b", "name_norm_b", "score")
+    values = recs.select("sex", "name_part", "name_norm").where("name_norm <> '' and sex is not null and name_part is not null").distinct()
+    values = Stage(recs.sparkSession, "names").write(values.withColumn("first", F.substring("name_norm", 1, 1)))
+    sizes = values.groupBy("sex", "first").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    dealt = values.join(sizes, ["sex", "first"]).withColumn("part", F.pmod(F.xxhash64("name_norm", "name_part"), F.col("parts")).cast("int"))
+    # part p meets each part k, itself too, in the cell of both
+    cells = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "k"), "j": F.greatest("part", "k")})
+    return cells.groupBy("sex", "first", "i", "j").applyInPandas(_similar_in_cell, SIMILAR)
 
 
 def similar_pairs(recs: DataFrame, clusters: DataFrame, reviewed: DataFrame) -> DataFrame:

@@ -57,6 +57,42 @@ def test_similar_names_against_all_pairs(spark):
     assert got == want and want
 
 
+def test_similar_names_meet_in_every_cell(spark, monkeypatch):
+    from radveil.functions.similarity import jaro_winkler
+
+    monkeypatch.setattr(L, "CELL", 90)
+    rng = random.Random(2)
+    swap = lambda n, k: n[:k] + n[k + 1 : k + 2] + n[k : k + 1] + n[k + 2 :]
+    names = {swap(rng.choice(["rahima begum", "rahim uddin", "r\u0101hima", "r" * 70, "ra" * 33]), rng.randrange(12))[: rng.choice([3, 11, 12, 80])] for _ in range(300)}
+    values = [(n, p) for n in names for p in ("p" + n, "q")]
+    rows = [(f"u{i}", p, 2, n, sex, 1980, None) for i, (n, p) in enumerate(sorted(values)) for sex in ("F", "M", None)]
+    got = [(r.sex, r.name_norm_a, r.name_part_a, r.name_norm_b, r.name_part_b, r.score) for r in L.similar_names(recs(spark, rows)).collect()]
+    want = {(s, *a, *b, jaro_winkler(a[0], b[0])) for s in "FM" for a in values for b in values if a < b and a[1] != b[1] and a[0][0] == b[0][0] and jaro_winkler(a[0], b[0]) >= 0.92}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_similar_names_of_one_letter_are_not_compared_one_by_one():
+    import time
+
+    import numpy as np
+
+    from radveil.functions import similarity as S
+
+    rng = random.Random(6)
+    part = lambda: "".join(rng.choice("bdgkmnrst") + rng.choice("aeiou") for _ in range(rng.choice([3, 4])))
+    names = sorted({"b" + part() + " " + part() for _ in range(4000)})
+    every = np.arange(len(names))
+    began = time.process_time()
+    S.similar_in(names, every, every, 0.92)
+    mine = time.process_time() - began
+    began = time.process_time()
+    for a in names[:100]:
+        for b in names[:1000]:
+            S.may_reach(a, b, 0.92)
+    plain = (time.process_time() - began) * len(names) ** 2 / 2 / 100_000
+    assert mine < plain / 5
+
+
 def test_components(spark):
     edges = [("c", "b"), ("b", "a"), ("x", "x"), (None, "a"), ("p", "q"), ("q", "p"), *((f"n{i:02d}", f"n{i + 1:02d}") for i in range(40))]
     df = spark.createDataFrame(edges, "a string, b string")
