@@ -30,16 +30,36 @@ def same_name_pairs(recs: DataFrame) -> DataFrame:
     """Pass 1: pairs of equal keyed name and sex with action 'merge' or 'review' and the reason; nothing for far birth years."""
     named = recs.select(*COLUMNS).distinct().where("n_tokens > 0").drop("name_norm")
     a, b = _sides(named, ["name_part", "sex"])
+    got = a.join(b, ["name_part", "sex"]).where("uid_a < uid_b").select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b"), _same_name_reason().alias("reason"))
+    return got.where("reason is not null").withColumn("action", F.when(F.col("reason").isin(*MERGING), "merge").otherwise("review"))
+
+
+MERGING = ("same_id_no", "same_name_near_age")
+
+
+def _same_name_reason():
     gap = F.abs(F.col("birth_year_a") - F.col("birth_year_b"))
-    reason = (
+    return (
         F.when(F.col("id_hash_a") == F.col("id_hash_b"), "same_id_no")
         .when(gap.isNull(), "same_name_missing_age")
         .when((gap <= 1) & (F.col("n_tokens_a") >= 2), "same_name_near_age")
         .when(gap <= 1, "single_token_name")
         .when(gap == 2, "same_name_birth_year_differs")
     )
-    got = a.join(b, ["name_part", "sex"]).where("uid_a < uid_b").select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b"), reason.alias("reason"))
-    return got.where("reason is not null").withColumn("action", F.when(F.col("reason").isin("same_id_no", "same_name_near_age"), "merge").otherwise("review"))
+
+
+def same_name_review(recs: DataFrame) -> DataFrame:
+    """The pairs of pass 1 with action 'review' (a, b, reason), without building those that merge.
+
+    Records that agree in all that the reason depends on are one kind. Kinds are paired first, then the records of those under review: the
+    many records of one name and number don't meet each other.
+    """
+    named = recs.select(*COLUMNS).distinct().where("n_tokens > 0 and name_part is not null and sex is not null").drop("name_norm")
+    kinds = named.withColumn("kind", F.to_json(F.struct("name_part", "sex", "n_tokens", "birth_year", "id_hash")))
+    a, b = _sides(kinds.drop("uid").distinct(), ["name_part", "sex"])
+    pairs = a.join(b, ["name_part", "sex"]).select("kind_a", "kind_b", _same_name_reason().alias("reason")).where(F.col("reason").isNotNull() & ~F.col("reason").isin(*MERGING))
+    side = lambda s: kinds.select(F.col("kind").alias(f"kind_{s}"), F.col("uid").alias(s))
+    return pairs.join(side("a"), "kind_a").join(side("b"), "kind_b").where("a < b").select("a", "b", "reason")
 
 
 def merge_edges(recs: DataFrame) -> DataFrame:
@@ -131,7 +151,7 @@ def review_queue(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stage = Stage(recs.sparkSession, "linkage")
     base = stage.write(clusters_of(recs, merge_edges(recs)))
     # only the reviewable pairs of pass 1 are built; merges went through merge_edges
-    first = same_name_pairs(recs).where("action = 'review'").select("a", "b", "reason")
+    first = same_name_review(recs)
     second = same_id_pairs(recs)
     two = stage.write(second.unionByName(first.join(second.select("a", "b"), ["a", "b"], "left_anti")))
     return stage.write(two.unionByName(similar_pairs(recs, base, two))), base

@@ -34,6 +34,14 @@ def test_merge_edges_have_the_closure_of_the_pairs(spark):
     assert one == two
 
 
+def test_review_pairs_of_one_name_without_the_merging_ones(spark):
+    rng = random.Random(5)
+    rows = [(f"u{i:03d}", rng.choice(["n", "m", None]), rng.choice([0, 1, 2]), "x", rng.choice(["M", "F", None]), rng.choice([None, *range(1960, 1970)]), rng.choice([None, "i", "j"])) for i in range(200)]
+    df = recs(spark, rows + rows[:9])
+    want = sorted(map(tuple, L.same_name_pairs(df).where("action = 'review'").select("a", "b", "reason").collect()))
+    assert sorted(map(tuple, L.same_name_review(df).collect())) == want and want
+
+
 def test_chain_is_one_cluster_and_decisions(spark):
     df = recs(spark, [(f"u{k}", "n", 2, "ab cd", "M", 1970 + k, None) for k in range(4)] + [("v1", "m", 1, "solo", "F", 1980, None), ("v2", "m", 1, "solo", "F", 1981, None), ("w1", "m", 1, "solo", "M", 1980, None), ("w2", "m", 1, "solo", "M", 1981, None)])
     review, base = L.review_queue(df)
