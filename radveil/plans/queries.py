@@ -13,7 +13,7 @@ from ..functions.scrub import pattern_hits, scrub_fields
 from ..operators import imaging, inventory, linkage, qa, release, staging, state
 from ..operators.components import connected_components
 from ..schemas import SECTION_FIELDS, TEXT_FIELDS
-from ..session import table
+from ..session import Stage, table
 from ..sources import files as src
 from . import oracles as O
 from .pipeline import summary_rows
@@ -375,10 +375,15 @@ def scrub_documents(spark: SparkSession, d: str) -> DataFrame:
     return scrub_fields(rows, "sources", "own", "facility_id", "days").select("doc_id", F.get("scrubbed", 0).alias("text"), F.to_json("scrub_counts").alias("counts"))
 
 
-def _pending(spark: SparkSession, d: str) -> DataFrame:
+def _decided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(review pairs, pending uids)."""
     recs = table(spark, d, "linkage_records")
     review, base = linkage.review_queue(recs)
-    return linkage.apply_decisions(recs, review, base, linkage.normalised_decisions(table(spark, d, "linkage_review")))[1]
+    return review, linkage.apply_decisions(recs, review, base, linkage.normalised_decisions(table(spark, d, "linkage_review")))[1]
+
+
+def _pending(spark: SparkSession, d: str) -> DataFrame:
+    return _decided(spark, d)[1]
 
 
 def _overrides(spark: SparkSession, d: str) -> DataFrame:
@@ -387,8 +392,9 @@ def _overrides(spark: SparkSession, d: str) -> DataFrame:
     return _ids(spark, d).select("report_id", F.when(last == O.PASS_LAST, " Pass ").when(last == O.FAIL_LAST, "FAIL").when(last == O.OTHER_LAST, "later").otherwise("").alias("decision"))
 
 
-def _checked(spark: SparkSession, d: str) -> DataFrame:
-    rows = _staged(spark, d).join(_pending(spark, d).withColumn("pending", F.lit(True)), "uid", "left")
+def _checked(spark: SparkSession, d: str, pending: DataFrame | None = None) -> DataFrame:
+    pending = _pending(spark, d) if pending is None else pending
+    rows = _staged(spark, d).join(pending.withColumn("pending", F.lit(True)), "uid", "left")
     rows = qa.record_issues(rows, _others(spark, d)).join(_overrides(spark, d).withColumn("decision", F.lower(F.trim("decision"))), "report_id", "left")
     return rows.withColumn("qa_status", qa.status(F.col("decision"), F.col("issues")))
 
@@ -446,10 +452,13 @@ def _run_figures() -> str:
 
 @query(O.chain("recs qa", _run_figures(), "checked_ids as (select uid, research_patient_id from checked join ids using (uid))"))
 def run_figures(spark: SparkSession, d: str) -> DataFrame:
-    """The counters of a run's summary, one row each."""
-    files, links = table(spark, d, "source_files"), table(spark, d, "linkage_records")
-    recs = inventory.records(files)
-    return summary_rows(recs, inventory.inventory(files, recs), linkage.review_queue(links)[0], _pending(spark, d), _checked(spark, d))
+    """The counters of a run's summary, one row each. Each table that several of them count is made once."""
+    files, stage = table(spark, d, "source_files"), Stage(spark, "figures")
+    recs = stage.write(inventory.records(files))
+    review, pending = _decided(spark, d)
+    pending = stage.write(pending)
+    rows = stage.write(_checked(spark, d, pending).select("research_patient_id", "qa_status", "issues"))
+    return summary_rows(recs, inventory.inventory(files, recs), review, pending, rows)
 
 
 R_BODY = " || chr(10) || ".join(f"coalesce({f}, '')" for f in TEXT_FIELDS)

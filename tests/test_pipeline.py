@@ -119,3 +119,14 @@ def test_key_file_and_log(tmp_path):
     (tmp_path / "short").write_text("YWJj")
     with pytest.raises(ValueError):
         Vault(tmp_path / "s", tmp_path / "short")
+
+
+def test_figures_make_the_review_queue_once(spark, data, monkeypatch):
+    from radveil.operators import linkage
+    from radveil.plans import queries as Q
+
+    made = []
+    queue = linkage.review_queue
+    monkeypatch.setattr(linkage, "review_queue", lambda recs: made.append(1) or queue(recs))
+    Q.QUERIES["run_figures"](spark, data)
+    assert len(made) == 1
